@@ -239,19 +239,3 @@ def web_match(m):
 def match_web(m):
     summary, _ = web.match_web(spread(m.documents()), ingest.web_sources(spread(m.raw("pages"))))
     return summary
-
-
-# --- turns against pages: the same join where both sides share many grams ------------------------
-@query("J10_turn_page_match", with_tables("", """SELECT conv_id, turn, page_id, score FROM thits""",
-    src=SOURCES, p1=WEB["p1"], pg=gram_rows("p1", "page_id", 3),
-    t1=f"SELECT conv_id, turn, {norm('text')} AS clean FROM conversations",
-    tg=gram_rows("t1", "conv_id, turn", 3),
-    thits="""SELECT * FROM (SELECT d.conv_id, d.turn, p.page_id,
-      count(*) / (any_value(d.n_grams) + any_value(p.n_grams) - count(*)) * 100 AS score
-      FROM tg d JOIN pg p ON p.g = d.g GROUP BY d.conv_id, d.turn, p.page_id) WHERE score > 5
-      QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, page_id) <= 10"""))
-def turn_page_match(m):
-    turns = m.raw("conversations").select(F.struct("conv_id", "turn").alias("id"), F.col("text").alias("content"))
-    pages = ingest.web_sources(spread(m.raw("pages")))
-    found = web.web_matches(spread(turns), pages, min_percent=5.0)
-    return found.select("doc_id.conv_id", "doc_id.turn", "page_id", "score")
