@@ -79,7 +79,7 @@ def merge_users(users: DataFrame, batch: DataFrame, as_of: Column) -> tuple[Data
     ``outcomes(seq, outcome, user_id, reason)``.
 
     Rows of one batch can depend on each other.  A round decides at once all rows whose names and
-    mails no earlier open row touches.  Rows that hit an active user need no order, since nothing
+    mails no earlier open row touches.  Rows that hit an active name need no order, since nothing
     here makes a user inactive; a name asked for very often is settled in two rounds.
     """
     fields = [c for c in batch.columns if c not in ("seq",) and c in users.columns]
@@ -87,10 +87,22 @@ def merge_users(users: DataFrame, batch: DataFrame, as_of: Column) -> tuple[Data
     current, open_rows, outcomes = users, stage(batch, "user-batch"), None
     while True:
         judged = stage(_judge(current, open_rows), "user-judged")
-        rejected = judged.filter("reason is not null")
-        waiting = judged.filter("reason is null")
-        ready = stage(_ready(waiting), "user-ready")
-        decided = rejected.select(
+        rejected = judged.filter("name_taken")
+        losing = judged.filter("NOT name_taken AND mail_taken")
+        waiting = judged.filter("NOT name_taken AND NOT mail_taken")
+        first = stage(_first_per_key(waiting), "user-first")
+        held_up = first.filter("seq <> first_seq").select("seq").distinct()
+        ready = stage(waiting.join(held_up, "seq", "left_anti"), "user-ready")
+        # The mail alone rejects these, but an earlier open row may still take the name first.
+        by_name = first.select(F.col("k").alias("_name_key"), "first_seq").distinct()
+        losing = losing.withColumn("_name_key", F.concat(F.lit("u:"), F.col("_by_name"))).join(
+            by_name, "_name_key", "left"
+        )
+        told = losing.filter("first_seq IS NULL OR first_seq > seq").select(*judged.columns)
+        done = rejected.select("seq", F.lit(fixed.USERNAME_TAKEN).alias("reason")).unionByName(
+            told.select("seq", F.lit(fixed.EMAIL_TAKEN).alias("reason"))
+        )
+        decided = done.select(
             "seq", F.lit("rejected").alias("outcome"), F.lit(None).cast("long").alias("user_id"), "reason"
         ).unionByName(
             ready.select(
@@ -103,7 +115,7 @@ def merge_users(users: DataFrame, batch: DataFrame, as_of: Column) -> tuple[Data
         outcomes = stage(decided if outcomes is None else outcomes.unionByName(decided), "user-outcomes")
         current = stage(_apply(current, ready, fields, start, as_of), "users")
         open_rows = stage(
-            waiting.join(ready.select("seq"), "seq", "left_anti").select(*batch.columns), "user-open"
+            open_rows.join(decided.select("seq"), "seq", "left_anti").select(*batch.columns), "user-open"
         )
         if open_rows.isEmpty():
             return current, outcomes
@@ -119,15 +131,17 @@ def _judge(users: DataFrame, rows: DataFrame) -> DataFrame:
     joined = keyed.join(side("username", "by_name"), "_by_name", "left").join(
         side("email", "by_mail"), "_by_mail", "left"
     )
-    reason = F.when(F.col("by_name.is_active"), fixed.USERNAME_TAKEN).when(
-        F.col("by_mail.is_active"), fixed.EMAIL_TAKEN
-    )
     return joined.withColumns(
-        {"reason": reason, "target": F.coalesce(F.col("by_mail.id"), F.col("by_name.id"))}
+        {
+            "name_taken": F.coalesce("by_name.is_active", F.lit(False)),
+            "mail_taken": F.coalesce("by_mail.is_active", F.lit(False)),
+            "target": F.coalesce(F.col("by_mail.id"), F.col("by_name.id")),
+        }
     )
 
 
-def _ready(waiting: DataFrame) -> DataFrame:
+def _first_per_key(waiting: DataFrame) -> DataFrame:
+    """``k, seq, first_seq``: the names and mails a row touches, and the first open row doing so."""
     touched = F.array_distinct(
         F.filter(
             F.array(
@@ -140,8 +154,7 @@ def _ready(waiting: DataFrame) -> DataFrame:
     )
     keys = waiting.select("seq", F.explode(touched).alias("k"))
     first = keys.groupBy("k").agg(F.min("seq").alias("first_seq"))
-    held_up = keys.join(first, "k").filter("seq <> first_seq").select("seq").distinct()
-    return waiting.join(held_up, "seq", "left_anti")
+    return keys.join(first, "k")
 
 
 def _apply(users: DataFrame, ready: DataFrame, fields: list[str], start: int, as_of: Column) -> DataFrame:

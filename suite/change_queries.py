@@ -148,16 +148,17 @@ D3_BATCH = """SELECT s_suppkey AS seq, CASE s_suppkey % 3 WHEN 0 THEN 'CUSTOMER'
     ELSE s_name || '@example.org' END AS email, s_name AS full_name, 'Student' AS role FROM supplier"""
 
 
-# Every row of the batch here touches at most one user, and rows meet only in the user name, so the
-# rule reduces to: the first row per name, unless an active user has the name or the mail.
-ORACLE_D3 = with_tables("users", f"""SELECT b.seq, CASE WHEN n.is_active OR e.is_active OR b.place > 1 THEN 'rejected'
-    WHEN coalesce(e.id, n.id) IS NULL THEN 'inserted' ELSE 'reactivated' END AS outcome,
-    CASE WHEN n.is_active OR e.is_active OR b.place > 1 THEN NULL ELSE coalesce(e.id, n.id, b.seq + top.t + 1) END AS user_id,
-    CASE WHEN n.is_active OR b.place > 1 THEN {quoted(fixed.USERNAME_TAKEN)}
-    WHEN e.is_active THEN {quoted(fixed.EMAIL_TAKEN)} END AS reason
-    FROM (SELECT b.*, row_number() OVER (PARTITION BY lower(username) ORDER BY seq) AS place FROM batch b) b
-    LEFT JOIN users n ON lower(n.username) = lower(b.username)
-    LEFT JOIN users e ON lower(e.email) = lower(b.email), (SELECT max(id) AS t FROM users) top""", batch=D3_BATCH)
+# Rows of this batch meet only in the user name.  A name is taken once an earlier row got it, and a
+# row gets it unless an active user has its mail.
+ORACLE_D3 = with_tables("users", f"""SELECT seq, CASE WHEN taken OR mail_taken THEN 'rejected'
+    WHEN target IS NULL THEN 'inserted' ELSE 'reactivated' END AS outcome,
+    CASE WHEN NOT taken AND NOT mail_taken THEN coalesce(target, seq + (SELECT max(id) FROM users) + 1) END AS user_id,
+    CASE WHEN taken THEN {quoted(fixed.USERNAME_TAKEN)} WHEN mail_taken THEN {quoted(fixed.EMAIL_TAKEN)} END AS reason
+    FROM (SELECT *, name_taken OR coalesce(seq > min(CASE WHEN NOT mail_taken THEN seq END) OVER (PARTITION BY lower(username)), false) AS taken
+      FROM hits)""", batch=D3_BATCH,
+    hits="""SELECT b.seq, b.username, coalesce(n.is_active, false) AS name_taken, coalesce(e.is_active, false) AS mail_taken,
+      coalesce(e.id, n.id) AS target FROM batch b LEFT JOIN users n ON lower(n.username) = lower(b.username)
+      LEFT JOIN users e ON lower(e.email) = lower(b.email)""")
 
 
 @query("D3_merge_users", ORACLE_D3)

@@ -45,7 +45,7 @@ def cut_with(column: str, words: list[str]) -> str:
     for k in words:
         at = f"instr(reverse({low}), {quoted(k[::-1])})"
         start = f"(length({low}) - {len(k)} + 1 - {at})"
-        found.append(f"CASE WHEN {at} > 0 AND {start} > length({column}) * 0.7 THEN {start} END")
+        found.append(f"CASE WHEN {at} > 0 AND {start} > length({column}) * 0.7::double THEN {start} END")
     best = f"greatest({', '.join(found)})"
     return f"CASE WHEN {best} IS NULL THEN {column} ELSE substr({column}, 1, CAST({best} AS int)) END"
 
