@@ -8,11 +8,15 @@ be gone.  The folder is the one the cluster names in ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_blocks = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,4 +38,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of the written table."""
     path = fresh_path(df.sparkSession, name)
     df.write.mode("errorifexists").parquet(path)
+    for made in getattr(_blocks, "open", []):
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables staged inside the block when it ends.
+
+    For work that writes its result within the block, such as a micro-batch of a stream.
+    """
+    made: list[str] = []
+    _blocks.open = [*getattr(_blocks, "open", []), made]
+    try:
+        yield
+    finally:
+        _blocks.open = _blocks.open[:-1]
+        jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+        for path in made:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)

@@ -39,7 +39,8 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Split a scan of few, small files over all cores before costly text work.
 
-    A table of many splits is returned as it is, without a shuffle.
+    A table of many splits is returned as it is, without a shuffle.  For scans only: asking a plan
+    with a shuffle for its partitions would run that shuffle.
     """
     wanted = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)

@@ -19,6 +19,7 @@ from palimpsest.operators.match import Corpus
 from palimpsest.operators.quota import HOURS, daily_quota, upload_dedup
 from palimpsest.plans.ai import score_ai
 from palimpsest.plans.check import check_documents
+from palimpsest.scratch import staging
 
 
 def read_results(spark: SparkSession, folder: str, schema=None) -> DataFrame:
@@ -33,8 +34,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def _run(stream: DataFrame, folder: str, handle: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    def handle_and_tidy(batch: DataFrame, number: int) -> None:
+        with staging(batch.sparkSession):
+            handle(batch, number)
+
     return (
-        stream.writeStream.foreachBatch(handle)
+        stream.writeStream.foreachBatch(handle_and_tidy)
         .option("checkpointLocation", f"{folder}/progress")
         .trigger(availableNow=True)
         .start()

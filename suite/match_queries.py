@@ -35,7 +35,7 @@ def bench_sql(body: str, **more: str) -> str:
 
 
 def prepared(m):
-    docs = spread(m.documents())
+    docs = m.documents()
     return docs, match.Corpus(seg.contents(filters.reference_corpus(docs)))
 
 
@@ -114,7 +114,7 @@ def check_documents(m):
     THEN {R2.format('o.matched_words / o.total_words * 100')} ELSE 0 END AS overall
     FROM (SELECT DISTINCT src_id FROM segs) s LEFT JOIN overall o ON o.src_id = s.src_id""", overall=OVERALL))
 def overall_similarity(m):
-    scored = check.scored_segments(spread(m.documents()), bench_corpus(m), exclude_self=False)
+    scored = check.scored_segments(m.documents(), bench_corpus(m), exclude_self=False)
     return check.overall_similarity(scored)
 
 
@@ -122,7 +122,7 @@ def overall_similarity(m):
     WHERE {R2.format('score_raw')} > 20 GROUP BY src_id"""))
 def matched_documents(m):
     scored = check.scored_segments(
-        spread(m.documents()), bench_corpus(m), exclude_self=False, min_percent=20.0
+        m.documents(), bench_corpus(m), exclude_self=False, min_percent=20.0
     )
     return check.matched_documents(check.match_rows(scored))
 
@@ -132,7 +132,7 @@ def matched_documents(m):
     FROM (SELECT s.src_id, s.pos, s.is_excluded, coalesce({R2.format('b.score_raw')}, 0) AS r FROM segs s
     LEFT JOIN best b ON b.src_id = s.src_id AND b.pos = s.pos) s"""))
 def highlight_segments(m):
-    scored = check.scored_segments(spread(m.documents()), bench_corpus(m), exclude_self=False)
+    scored = check.scored_segments(m.documents(), bench_corpus(m), exclude_self=False)
     return scored.select("src_id", "pos", bands.highlight(F.col("score"), F.col("is_excluded")).alias("display"))
 
 
@@ -142,7 +142,7 @@ def highlight_segments(m):
 def resolve_source(m):
     """By title, as far as titles are alike: the first words serve as titles here."""
     items = m.raw("benchmark").select(F.col("item_id").alias("id"), F.substring("text", 1, 4).alias("title"))
-    scored = match.best_match(counted(spread(m.documents())), bench_corpus(m), exclude_self=False)
+    scored = match.best_match(counted(m.documents()), bench_corpus(m), exclude_self=False)
     return match.resolve_by_title(scored, items).select("src_id", "pos", "resolved_id")
 
 
@@ -183,7 +183,7 @@ def plain_rows(table: str, key: str) -> str:
       FROM sg s JOIN cg c ON c.g = s.g GROUP BY s.doc_id, s.pos, c.doc_id, c.pos) WHERE score > 50
       QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY compare_id, compare_pos) = 1"""))
 def sentence_match(m):
-    docs = spread(m.documents())
+    docs = m.documents()
     items = m.raw("benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("content"))
     found = sentences.sentence_match(docs, items)
     return found.select(
@@ -229,7 +229,7 @@ WEB = {
 
 @query("J10_web_match", with_tables("", "SELECT doc_id, page_id, score FROM hits", **WEB))
 def web_match(m):
-    docs = spread(m.documents())
+    docs = m.documents()
     return web.web_matches(docs, ingest.web_sources(spread(m.raw("pages"))))
 
 
@@ -237,5 +237,5 @@ def web_match(m):
     coalesce(h.n, 0) AS total_matches FROM documents d LEFT JOIN (
     SELECT doc_id, count(*) AS n FROM hits GROUP BY doc_id) h ON h.doc_id = d.doc_id""", **WEB))
 def match_web(m):
-    summary, _ = web.match_web(spread(m.documents()), ingest.web_sources(spread(m.raw("pages"))))
+    summary, _ = web.match_web(m.documents(), ingest.web_sources(spread(m.raw("pages"))))
     return summary

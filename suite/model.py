@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.sources.tables import read_table
+from palimpsest.sources.tables import read_table, spread
 
 
 class Model:
@@ -104,7 +104,7 @@ class Model:
     def documents(self) -> DataFrame:
         """Documents with text.  A row labelled toxic is inactive, one of low quality not public."""
         labels = self.raw("labels").select(F.col("doc_id").alias("id"), "quality", "toxic")
-        docs = self.raw("documents").select(
+        docs = spread(self.raw("documents")).select(
             F.col("doc_id").alias("id"), F.col("text").alias("content"), "lang", "source"
         )
         return docs.join(labels, "id", "left").selectExpr(

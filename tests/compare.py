@@ -40,7 +40,7 @@ def compare(spark, db, name, build, sql, sf_dir):
     start = time.time()
     ours = build(spark, sf_dir).toArrow()
     middle = time.time()
-    theirs = db.execute(sql).to_arrow_table()
+    theirs = db.sql(sql).to_arrow_table()
     end = time.time()
     problems = []
     names, left = rows_of(ours)
