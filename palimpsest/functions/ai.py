@@ -58,3 +58,17 @@ def summary(score: Column) -> Column:
 
 def level(score: Column) -> Column:
     return risk_band(score, "ai")
+
+
+def to_stored(as_of: Column) -> Column:
+    """JSON text of a scored row, as kept with the check."""
+    return F.to_json(
+        F.struct(
+            "ai_probability", "detection_level", "sentences", "summary", as_of.alias("checked_date")
+        )
+    )
+
+
+def from_stored(stored: Column) -> Column:
+    """Nested result from its JSON text; null and empty text give null."""
+    return F.from_json(F.when(stored != "", stored), RESULT)

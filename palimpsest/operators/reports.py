@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import fixed
+from palimpsest.functions.ai import from_stored
 from palimpsest.functions.bands import remaining_checks
+from palimpsest.operators.filters import optional_filters
 
 PAGE = 1000
 
@@ -55,6 +57,7 @@ def check_detail(checks: DataFrame, docs: DataFrame, users: DataFrame, matches:
 
     ``pos`` is unique within a check, so a page holds at most ``PAGE`` matches and a check with
     very many of them is spread over many groups.  A check without matches has one empty page.
+    A stored machine-text result is parsed into ``ai_analysis``.
     """
     titles = docs.select(F.col("id").alias("matched_document_id"), F.col("title").alias("matched_title"))
     entry = F.struct(
@@ -68,6 +71,8 @@ def check_detail(checks: DataFrame, docs: DataFrame, users: DataFrame, matches:
         .agg(F.sort_array(F.collect_list(entry)).alias("matches"))
     )
     head = check_history(checks, docs, users)
+    if "ai_detection_json" in checks.columns:
+        head = head.withColumn("ai_analysis", from_stored(F.col("ai_detection_json")))
     nested = head.join(pages.withColumnRenamed("check_id", "id"), "id", "left")
     return nested.withColumn("page", F.coalesce("page", F.lit(0)))
 
@@ -109,7 +114,9 @@ def stats_summary(
     (_, high, _), (_, medium, _), _ = fixed.BANDS["report"]
     return done.agg(
         F.count("*").alias("total_checks"),
-        F.coalesce(F.round(F.avg(score).cast("double"), 4), F.lit(0.0)).alias("average_similarity"),
+        F.coalesce(
+            F.round(F.sum(score).cast("double") / F.nullif(F.count("*"), F.lit(0)), 4), F.lit(0.0)
+        ).alias("average_similarity"),
         F.count_if(score > high).alias("high_risk"),
         F.count_if((score >= medium) & (score <= high)).alias("medium_risk"),
         F.count_if(score < medium).alias("low_risk"),
@@ -117,11 +124,18 @@ def stats_summary(
 
 
 def stats_by_subject(checks: DataFrame, docs: DataFrame, subjects: DataFrame, user_id: int | None = None):
-    """Checks and average per subject.  Averaged by key before the name is attached."""
-    known = with_subject(completed(checks, user_id), docs).filter("subject_id is not null")
+    """Checks and average per subject.
+
+    Summed per document before the document's subject is joined, and per subject before the name
+    is, so a document checked very often crosses the shuffle as one row per task.
+    """
+    per_document = completed(checks, user_id).groupBy("source_document_id").agg(
+        F.count("*").alias("n"), F.sum("overall_similarity").alias("total")
+    )
+    known = with_subject(per_document, docs).filter("subject_id is not null")
+    average = F.sum("total").cast("double") / F.sum("n")
     sums = known.groupBy("subject_id").agg(
-        F.count("*").alias("document_count"),
-        F.round(F.avg("overall_similarity").cast("double"), 4).alias("average_similarity"),
+        F.sum("n").alias("document_count"), F.round(average, 4).alias("average_similarity")
     )
     named = sums.join(
         subjects.select(F.col("id").alias("subject_id"), F.col("name").alias("subject_name")), "subject_id"
@@ -147,3 +161,24 @@ def entity_counts(docs: DataFrame, users: DataFrame, faculties: DataFrame, subje
 def distinct_matched(matches: DataFrame) -> DataFrame:
     """Every matched document of a check once."""
     return matches.select("check_id", "matched_document_id").dropDuplicates()
+
+
+def history(
+    checks: DataFrame, docs: DataFrame, users: DataFrame,
+    user_id: int | None = None, document_id: int | None = None, limit: int | None = None,
+) -> DataFrame:
+    """Latest checks with their names.  Cut to ``limit`` before anything is joined."""
+    wanted = optional_filters(checks, user_id=user_id, source_document_id=document_id)
+    return check_history(history_top_n(wanted, limit), docs, users).orderBy(F.desc("check_date"), F.desc("id"))
+
+
+def statistics(
+    checks: DataFrame, docs: DataFrame, users: DataFrame, faculties: DataFrame, subjects: DataFrame,
+    user_id: int | None = None,
+) -> dict[str, DataFrame]:
+    """The parts of the statistics page; each is a small table."""
+    return {
+        "summary": stats_summary(checks, docs, user_id),
+        "entities": entity_counts(docs, users, faculties, subjects),
+        "subjects": stats_by_subject(checks, docs, subjects, user_id),
+    }

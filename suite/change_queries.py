@@ -229,16 +229,17 @@ def cascade_delete(m):
 
 
 @query("J13_cleared_keys", with_tables("faculties departments subjects users papers", """SELECT 'users' AS part, count(*) AS n, count(faculty_id) AS n_keys FROM users
-    UNION ALL SELECT 'documents', count(*), count(subject_id) FILTER (WHERE subject_id % 4 <> 0) FROM papers
+    UNION ALL SELECT 'documents', count(*), count(subject_id) FILTER (WHERE subject_id NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)) FROM papers
     UNION ALL SELECT 'blocked faculties', count(*), 0 FROM faculties WHERE id IN (SELECT faculty_id FROM departments)
-    UNION ALL SELECT 'subjects', count(*) FILTER (WHERE id % 4 <> 0), 0 FROM subjects"""))
+    UNION ALL SELECT 'subjects', count(*) FILTER (WHERE id NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)), 0 FROM subjects"""))
 def cleared_keys(m):
-    """All faculties are in use and stay; every fourth subject goes and clears its documents."""
+    """All faculties are in use and stay; some subjects go and clear the key of their documents."""
+    named = m.raw("supplier").filter("s_acctbal < 0").select(F.col("s_nationkey").alias("id"))
     faculties = integrity.delete_parents(
         m.faculties(), m.faculties().select("id"), [(m.departments(), "faculty_id")], {"users": (m.users(), "faculty_id")}
     )
     subjects = integrity.delete_parents(
-        m.subjects(), m.subjects().filter("id % 4 = 0").select("id"), [], {"documents": (m.papers(), "subject_id")}
+        m.subjects(), named, [], {"documents": (m.papers(), "subject_id")}
     )
 
     def told(part, df, key=None):

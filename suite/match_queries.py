@@ -138,10 +138,10 @@ def highlight_segments(m):
 
 @query("J11_resolve_source", bench_sql("""SELECT b.src_id, b.pos, t.first_id AS resolved_id FROM best b
     JOIN titles t ON t.id = b.matched_id""", titles="""SELECT item_id AS id,
-    min(item_id) OVER (PARTITION BY substr(text, 1, 4)) AS first_id FROM benchmark"""))
+    min(item_id) OVER (PARTITION BY regexp_extract(text, '^[^ ]+')) AS first_id FROM benchmark"""))
 def resolve_source(m):
-    """By title, as far as titles are alike: the first words serve as titles here."""
-    items = m.raw("benchmark").select(F.col("item_id").alias("id"), F.substring("text", 1, 4).alias("title"))
+    """By title, as far as titles are alike: the first word serves as title here."""
+    items = m.raw("benchmark").select(F.col("item_id").alias("id"), F.regexp_extract("text", "^[^ ]+", 0).alias("title"))
     scored = match.best_match(counted(m.documents()), bench_corpus(m), exclude_self=False)
     return match.resolve_by_title(scored, items).select("src_id", "pos", "resolved_id")
 

@@ -32,7 +32,7 @@ class Model:
             "concat('D', n_nationkey) AS code",
             "n_name AS name",
             "n_regionkey AS faculty_id",
-            "n_nationkey % 7 <> 3 AS is_active",
+            "n_name <> 'NATION_3' AS is_active",
         )
 
     def subjects(self) -> DataFrame:
@@ -57,7 +57,7 @@ class Model:
             "concat(lower(replace(c_name, '#', '.')), '@example.org') AS email",
             f"{role} AS role",
             "c_nationkey % 5 AS faculty_id",
-            "CASE WHEN c_nationkey % 4 <> 0 THEN c_nationkey END AS department_id",
+            "CASE WHEN c_nationkey > 5 THEN c_nationkey END AS department_id",
             "c_acctbal >= 0 AS is_active",
             "CASE WHEN c_mktsegment = 'BUILDING' THEN 999 ELSE 5 END AS daily_check_limit",
             "c_custkey % 7 AS checks_used_today",
@@ -72,10 +72,10 @@ class Model:
             " ELSE 'Research' END AS document_type",
             "cast(p_size AS bigint) AS file_size",
             "p_partkey AS user_id",
-            "CASE WHEN p_size % 10 <> 0 THEN cast(substring(p_brand, 7) AS int) END AS subject_id",
+            "CASE WHEN p_size <= 40 THEN cast(substring(p_brand, 7) AS int) END AS subject_id",
             "timestamp_ntz '2024-01-01 00:00:00' + make_interval(0, 0, 0, p_size) AS upload_date",
-            "p_size % 3 <> 0 AS is_public",
-            "p_size % 5 <> 0 AS is_active",
+            "p_size >= 5 AS is_public",
+            "p_size <= 45 AS is_active",
         )
 
     def checks(self) -> DataFrame:
@@ -139,7 +139,7 @@ CTES = {
     "faculties": """SELECT r_regionkey AS id, 'F' || r_regionkey AS code, r_name AS name,
         length(r_name) < 8 AS is_active FROM region""",
     "departments": """SELECT n_nationkey AS id, 'D' || n_nationkey AS code, n_name AS name,
-        n_regionkey AS faculty_id, n_nationkey % 7 <> 3 AS is_active FROM nation""",
+        n_regionkey AS faculty_id, n_name <> 'NATION_3' AS is_active FROM nation""",
     "subjects": """SELECT DISTINCT CAST(substr(p_brand, 7) AS int) AS id, upper(p_brand) AS code,
         p_brand AS name, 3 AS credits, CAST(substr(p_brand, 7) AS int) AS department_id,
         true AS is_active FROM part""",
@@ -147,16 +147,16 @@ CTES = {
         c_name AS full_name, lower(replace(c_name, '#', '.')) || '@example.org' AS email,
         CASE c_mktsegment WHEN 'BUILDING' THEN 'Admin' WHEN 'MACHINERY' THEN 'Lecturer'
         ELSE 'Student' END AS role, c_nationkey % 5 AS faculty_id,
-        CASE WHEN c_nationkey % 4 <> 0 THEN c_nationkey END AS department_id,
+        CASE WHEN c_nationkey > 5 THEN c_nationkey END AS department_id,
         c_acctbal >= 0 AS is_active,
         CASE WHEN c_mktsegment = 'BUILDING' THEN 999 ELSE 5 END AS daily_check_limit,
         c_custkey % 7 AS checks_used_today FROM customer""",
     "papers": """SELECT p_partkey AS id, p_name AS title, CASE p_type WHEN 'ECONOMY' THEN 'Essay'
         WHEN 'STANDARD' THEN 'Thesis' ELSE 'Research' END AS document_type,
         CAST(p_size AS bigint) AS file_size, p_partkey AS user_id,
-        CASE WHEN p_size % 10 <> 0 THEN CAST(substr(p_brand, 7) AS int) END AS subject_id,
+        CASE WHEN p_size <= 40 THEN CAST(substr(p_brand, 7) AS int) END AS subject_id,
         TIMESTAMP '2024-01-01 00:00:00' + to_days(p_size) AS upload_date,
-        p_size % 3 <> 0 AS is_public, p_size % 5 <> 0 AS is_active FROM part""",
+        p_size >= 5 AS is_public, p_size <= 45 AS is_active FROM part""",
     "checks": """SELECT o_orderkey AS id, o_custkey AS source_document_id, o_custkey AS user_id,
         o_orderdate AS check_date,
         CAST(floor(o_totalprice / 50) / 100 AS decimal(5,2)) AS overall_similarity,

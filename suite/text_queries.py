@@ -404,9 +404,9 @@ def ai_document_score(m):
 @query("S5_ai_json_roundtrip", f"SELECT doc_id, ai_probability, detection_level, n_sentences FROM ({AI_OUT})")
 def ai_json_roundtrip(m):
     stored = ai_plan.score_ai(docs_of(m)).select(
-        "doc_id", ai_plan.to_stored(F.lit("2024-05-01 10:00:00").cast("timestamp_ntz")).alias("stored")
+        "doc_id", ai.to_stored(F.lit("2024-05-01 10:00:00").cast("timestamp_ntz")).alias("stored")
     )
-    back = stored.select("doc_id", ai_plan.from_stored(F.col("stored")).alias("r"))
+    back = stored.select("doc_id", ai.from_stored(F.col("stored")).alias("r"))
     return back.select(
         "doc_id", "r.ai_probability", "r.detection_level", F.size("r.sentences").cast("long").alias("n_sentences")
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import time
 from collections import Counter
 from pathlib import Path
@@ -21,7 +22,7 @@ def connect(sf_dir: str):
 
 def value(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 9)
+        return "nan" if math.isnan(v) else v if os.environ.get("COMPARE_BITS") else round(v, 9)
     return v
 
 

@@ -109,10 +109,10 @@ def test_document_score_and_json(spark):
     assert got[2].ai_probability == 40.0 and got[2].detection_level == "Low"
     assert len(long) >= 200 and got[3].ai_probability == 50.0 and got[3].detection_level == "Medium"
     assert got[4].ai_probability == 0.0 and got[4].summary == fixed.AI_SUMMARY_LOW
-    stored = ai_plan.score_ai(rows).select(ai_plan.to_stored(F.lit("2024-01-02").cast("timestamp_ntz")).alias("s"), "doc_id")
-    back = {r.doc_id: r.r for r in stored.select("doc_id", ai_plan.from_stored(F.col("s")).alias("r")).collect()}
+    stored = ai_plan.score_ai(rows).select(ai.to_stored(F.lit("2024-01-02").cast("timestamp_ntz")).alias("s"), "doc_id")
+    back = {r.doc_id: r.r for r in stored.select("doc_id", ai.from_stored(F.col("s")).alias("r")).collect()}
     assert back[3].ai_probability == 50.0 and len(back[3].sentences) == 4
-    assert one(spark, "", ai_plan.from_stored) is None
+    assert one(spark, "", ai.from_stored) is None
 
 
 def test_quality_of_a_structured_text(spark):
