@@ -15,7 +15,11 @@ SLICE_SECONDS = 60
 
 
 def micros(ts: Column) -> Column:
-    return F.unix_micros(ts.cast("timestamp"))
+    """Microseconds of a wall-clock time, the same in every session time zone."""
+    since = ts - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    part = lambda unit: F.extract(F.lit(unit), since)
+    minutes = (part("DAY").cast("long") * 24 + part("HOUR")) * 60 + part("MINUTE")
+    return minutes * 60_000_000 + (part("SECOND") * 1_000_000).cast("long")
 
 
 def running_count(rows: DataFrame, keys: list[str], counts: str, ts: str, tie: str, name: str):
