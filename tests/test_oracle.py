@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import SF, compare, connect
+from suite.registry import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -12,12 +13,12 @@ def db():
 
 
 def test_every_query_has_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(ORACLES) == set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, db, name):
-    problems, _, _, _ = compare(spark, db, name, entry.queries()[name], entry.oracle_sql()[name], SF)
+    problems, _, _, _ = compare(spark, db, name, QUERIES[name], ORACLES[name], SF)
     assert not problems
 
 
