@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import host_rules, interleave
+from palimpsest.llm import host_rules, interleave, minhash
 from palimpsest.sources.tables import read_table
 
 
@@ -17,9 +17,11 @@ def over_documents(build: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSe
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_host_rules": over_documents(host_rules.op2),
     "op9_interleave_shards": over_documents(interleave.op9),
+    "op10_bbit_minhash": over_documents(minhash.op10),
 }
 
 ORACLES: dict[str, str] = {
     "op2_host_rules": host_rules.OP2_SQL,
     "op9_interleave_shards": interleave.OP9_SQL,
+    "op10_bbit_minhash": minhash.OP10_SQL,
 }
