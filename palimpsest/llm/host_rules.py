@@ -1,8 +1,9 @@
 """Quality rules judged per host: failures are counted by host and rule, rates are shrunk towards an
 empirical beta prior over all hosts, and the verdict on a host goes back to its documents.
 
-Everything is DataFrame work.  Hosts are aggregated with partial sums before the shuffle; the join
-back is a plain equi-join, so a host with a third of all rows is split by the adaptive skew join.
+Everything is DataFrame work.  Hosts are aggregated with partial sums before the shuffle.  For the join
+back the rows of a host are dealt to parts and its verdict stands in each of them, so a host with a
+third of all rows is shared out.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ RULES = {
     "word_length": "n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 12 * n_words)",
 }
 BASE = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
+PARTS = 64
 WHITE = "[\\\\x20\\\\x09-\\\\x0D]+"
 
 
@@ -117,9 +119,11 @@ def judge(docs: DataFrame, max_rate: float = 0.5, doc_id: str = "doc_id", text:
     ignored; no rows give no rows.
     """
     measured = stage(measure(docs, doc_id, text, host), "host-rules")
-    verdicts = host_verdicts(measured, max_rate=max_rate)
-    base = measured.withColumn("base_failed", F.expr(BASE))
-    return base.join(verdicts, "host", "left").withColumn(
+    verdicts = host_verdicts(measured, max_rate=max_rate).withColumn(
+        "part", F.explode(F.expr(f"sequence(0, {PARTS - 1})")))
+    base = measured.withColumn("base_failed", F.expr(BASE)).withColumn(
+        "part", F.expr(f"cast(pmod(xxhash64(doc_id, n_words, word_chars), {PARTS}) AS int)"))
+    return base.join(verdicts, ["host", "part"], "left").drop("part").withColumn(
         "kept", ~F.col("base_failed") & ~F.coalesce(F.col("host_failed"), F.lit(False))
     )
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import host_rules, interleave, minhash
+from palimpsest.llm import binpack, host_rules, interleave, minhash, setjoin
 from palimpsest.sources.tables import read_table
 
 
@@ -14,14 +14,21 @@ def over_documents(build: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSe
     return lambda spark, sf_dir: build(read_table(spark, sf_dir, "documents"))
 
 
+def with_benchmark(build: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: build(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_host_rules": over_documents(host_rules.op2),
+    "op7_variable_packing": over_documents(binpack.op7),
+    "op8_prefix_set_join": with_benchmark(setjoin.op8),
     "op9_interleave_shards": over_documents(interleave.op9),
     "op10_bbit_minhash": over_documents(minhash.op10),
 }
 
 ORACLES: dict[str, str] = {
     "op2_host_rules": host_rules.OP2_SQL,
+    "op8_prefix_set_join": setjoin.OP8_SQL,
     "op9_interleave_shards": interleave.OP9_SQL,
     "op10_bbit_minhash": minhash.OP10_SQL,
 }

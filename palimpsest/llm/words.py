@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
+from pyspark.sql import SparkSession
 
 U = np.uint64
 SPACE = np.zeros(256, bool)
@@ -80,15 +82,13 @@ class Words:
         chunks = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
         h = (left.astype(U) + U(seed)) * K1
         live = np.arange(len(at))
-        while len(live):
+        for _ in range(8):
             h[live] = mix(h[live] ^ (chunks[at[live]] & KEEP[np.minimum(left[live], 8)]))
             at[live] += 8
             left[live] -= 8
             live = live[left[live] > 0]
-            if len(live) and 0 < len(live) <= 8:  # a few very long words are taken one by one
-                for i in live.tolist():
-                    h[i] = long_hash(h[i], data[at[i] : self.end[i]])
-                break
+        for i in live.tolist():  # what is left of words of more than 64 bytes
+            h[i] = long_hash(h[i], data[at[i] : self.end[i]])
         return h
 
     def windows(self, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,3 +132,33 @@ def batches(found: Iterator[pa.RecordBatch], column: str, limit: int = 16 << 20)
             held += size
         if begin < batch.num_rows:
             yield batch.slice(begin)
+
+
+def slices(array: pa.Array, limit: int = 16 << 20) -> Iterator[pa.Array]:
+    """``array`` in pieces of at most ``limit`` bytes, or of one value."""
+    sizes = pc.fill_null(pc.binary_length(array), 0).to_numpy(zero_copy_only=False)
+    begin, held = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if held + size > limit and i > begin:
+            yield array.slice(begin, i - begin)
+            begin, held = i, 0
+        held += size
+    if begin < len(array):
+        yield array.slice(begin)
+
+
+class Shared:
+    """A broadcast value of one of this package's classes, readable where the package is not installed."""
+
+    def __init__(self, spark: SparkSession, value):
+        self._sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self._own = None
+
+    def __getstate__(self):
+        return {"_sent": self._sent, "_own": None}
+
+    @property
+    def value(self):
+        if self._own is None:
+            self._own = cloudpickle.loads(self._sent.value)
+        return self._own
