@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import binpack, host_rules, interleave, minhash, pieces, setjoin
+from palimpsest.llm import binpack, host_rules, interleave, licenses, minhash, pieces, setjoin
 from palimpsest.sources.tables import read_table
 
 
@@ -20,6 +20,7 @@ def with_benchmark(build: Callable[[DataFrame, DataFrame], DataFrame]) -> Callab
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_host_rules": over_documents(host_rules.op2),
+    "op5_license_rules": over_documents(licenses.op5),
     "op6_piece_langid": over_documents(pieces.op6),
     "op7_variable_packing": over_documents(binpack.op7),
     "op8_prefix_set_join": with_benchmark(setjoin.op8),
