@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import binpack, hmm, host_rules, interleave, licenses, minhash, pieces, setjoin
+from palimpsest.llm import anchors, binpack, hmm, host_rules, interleave, licenses, minhash, pieces, setjoin
 from palimpsest.sources.tables import read_table
 
 
@@ -20,6 +20,7 @@ def with_benchmark(build: Callable[[DataFrame, DataFrame], DataFrame]) -> Callab
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_host_rules": over_documents(host_rules.op2),
+    "op3_block_anchors": over_documents(anchors.op3),
     "op4_hmm_likelihood": over_documents(hmm.op4),
     "op5_license_rules": over_documents(licenses.op5),
     "op6_piece_langid": over_documents(pieces.op6),
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_host_rules": host_rules.OP2_SQL,
+    "op3_block_anchors": anchors.OP3_SQL,
     "op8_prefix_set_join": setjoin.OP8_SQL,
     "op9_interleave_shards": interleave.OP9_SQL,
     "op10_bbit_minhash": minhash.OP10_SQL,

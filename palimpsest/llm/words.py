@@ -162,3 +162,23 @@ class Shared:
         if self._own is None:
             self._own = cloudpickle.loads(self._sent.value)
         return self._own
+
+
+def joined(words: Words, keep: np.ndarray) -> Iterator[bytes]:
+    """The kept words of each text, joined by one space.  White-space words only."""
+    data, size = words.texts.data, len(words.texts.data)
+    edges = np.zeros(size + 2, np.int8)
+    edges[words.start[keep]] += 1
+    np.subtract.at(edges, np.minimum(words.end[keep] + 1, size + 1), 1)  # with the separator behind
+    inside = np.cumsum(edges, dtype=np.int8)[:size] > 0
+    offsets = words.texts.offsets
+    kept = np.where(SPACE[data], np.uint8(0x20), data)
+    # a word that ends its text has no separator of its own: the next byte is another text's
+    last = words.end[keep][np.isin(words.end[keep], offsets[1:])]
+    last = last[last < size]
+    opens = np.zeros(size + 1, bool)
+    opens[words.start[keep]] = True
+    inside[last[~opens[last]]] = False
+    for i in range(words.texts.n):
+        a, b = offsets[i], offsets[i + 1]
+        yield kept[a:b][inside[a:b]].tobytes().rstrip(b" ")
