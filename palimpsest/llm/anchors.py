@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.words import NOT_SPACE, Shared, Texts, U, Words, batches, joined, mix, slices
 
 PASSAGE, BLOCK = 13, 7
-CHUNK = 1 << 21  # words reduced at once
+CHUNK = 1 << 20  # words reduced at once
 LAST = 2**63 - 1  # stands for a missing id: behind all others
 FILTER_BITS = 1 << 28
 
@@ -63,7 +63,7 @@ def groups(values: np.ndarray) -> np.ndarray:
 def chunks(found: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[Words, np.ndarray, np.ndarray]]]:
     """Lists of (words, their hashes, ids of their texts), bounded in words unless one text is longer."""
     held, size = [], 0
-    for batch in batches(found, "body"):
+    for batch in batches(found, "body", 4 << 20):
         words = Words(Texts(batch.column("body")), NOT_SPACE)
         ids = batch.column("doc_id").fill_null(LAST).to_numpy(zero_copy_only=False)
         held.append((words, words.hashes(), ids))
@@ -133,7 +133,11 @@ def passages(words: Words, hashes: np.ndarray, layout: Layout, bits: np.ndarray)
     prints, bucket = layout.print_(h), layout.bucket(h)
     one, two = layout.places(prints)
     hit = np.zeros(len(hashes) + 1, np.int32)
-    hit[at[bits[bucket * layout.width + one] & bits[bucket * layout.width + two]]] = 1
+    marked = np.ones(len(at), np.uint8)
+    for place in (one, two):
+        place += bucket * layout.width
+        marked &= bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)
+    hit[at] = marked & 1
     before = np.concatenate([[0], np.cumsum(hit)])
     reach = PASSAGE - BLOCK + 1
     last = np.minimum(np.arange(len(hashes)) + reach, len(hashes))
@@ -158,11 +162,10 @@ def packed_rows(bucket: np.ndarray, ids: np.ndarray, one: np.ndarray, two: np.nd
 
 
 def passage_rows(found: Iterator[pa.RecordBatch], layout: Layout, bits: Shared) -> Iterator[pa.RecordBatch]:
-    marked = np.unpackbits(bits.value).astype(bool)
     for chunk in chunks(found):
         ids, ones, twos = [], [], []
         for words, hashes, own in chunk:
-            start, one, two = passages(words, hashes, layout, marked)
+            start, one, two = passages(words, hashes, layout, bits.value)
             owner = np.searchsorted(words.first, start, side="right") - 1
             ids.append(own[owner])
             ones.append(one)

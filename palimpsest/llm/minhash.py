@@ -8,11 +8,12 @@ wrong ones, and the rest are confirmed on whole shingle sets.
 No group is ever written out as pairs.  In each bucket all nodes are first compared with one centre,
 chosen by a different order in every band; this links groups of any size by a number of pairs that is
 linear in their members.  Buckets that still hold several components are then searched once more, only
-between nodes of different components and never inside the largest one.  So each pair that shares a
-band key is either connected already or tested.
+between nodes of different components and never inside the largest one.  There the low bits of 4096
+minima are compared inside the join, so that hardly more than the similar pairs come out of it.  So
+each pair that shares a band key is either connected already or tested.
 
 A pair at the threshold shares none of the 32 bands of 4 minima with probability 5e-6, and the
-estimate is accepted from 0.25 below the threshold, six standard deviations.
+estimates are accepted from five standard deviations below the threshold: 0.2, or 0.055 with 4096.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.words import NOT_SPACE, Texts, U, Words, batches, distinct, mix
@@ -30,10 +31,13 @@ from palimpsest.scratch import stage
 
 MINIMA, ROWS, BITS = 128, 4, 4
 BANDS, LANES = MINIMA // ROWS, 64 // BITS
-SLACK = 0.25
+SLACK = 0.2
+WIDE, WIDE_SLACK = 4096, 0.055
 _seeds = np.random.default_rng(20240607)
 MULTIPLY = (_seeds.integers(0, 2**32, MINIMA, dtype=np.uint64) | U(1)).astype(np.uint32)
 ADD = _seeds.integers(0, 2**32, MINIMA, dtype=np.uint64).astype(np.uint32)
+WIDE_MULTIPLY = (_seeds.integers(0, 2**32, WIDE, dtype=np.uint64) | U(1)).astype(np.uint32)
+WIDE_ADD = _seeds.integers(0, 2**32, WIDE, dtype=np.uint64).astype(np.uint32)
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[np.ndarray, bytes]]:
@@ -106,6 +110,19 @@ def sets_of(found: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
         )
 
 
+def sketches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lowest bit of each of ``WIDE`` minima."""
+    for batch in found:
+        rows = []
+        for part in batch.column("shingles"):
+            half = (part.values.to_numpy().view(U) >> U(32)).astype(np.uint32)
+            low = np.full(WIDE, 0xFFFFFFFF, np.uint32)
+            for at in range(0, len(half), 64):
+                np.minimum(low, (half[None, at : at + 64] * WIDE_MULTIPLY[:, None] + WIDE_ADD[:, None]).min(axis=1), out=low)
+            rows.append(np.packbits((mix(low.astype(U)) & U(1)).astype(bool)).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(rows, pa.list_(pa.int64()))], names=["node", "sketch"])
+
+
 def estimate(a: str, b: str) -> str:
     """SQL of the collision-corrected similarity of two packed signatures."""
     mask = "1229782938247303441"  # 0x1111111111111111
@@ -120,18 +137,18 @@ def estimate(a: str, b: str) -> str:
     return f"((1D - ({' + '.join(lanes)}) / {MINIMA}D - {chance}D) / {1 - chance}D)"
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, percent: int, size: int) -> DataFrame:
-    """Those ``pairs`` (a, b) of nodes whose whole shingle sets are similar enough.
-
-    Sets are made again from the texts of the nodes in question only.
-    """
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    asked = stage(nodes.join(asked, "node").select("node", "doc_id", "sequence"), "minhash-asked")
+def shingles_of(asked: DataFrame, texts: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """``node, shingles`` of the asked nodes, made again from the texts in question only."""
+    asked = stage(nodes.join(asked.select("node").distinct(), "node").select("node", "doc_id", "sequence"), "minhash-asked")
     wanted = asked.select("doc_id").distinct()
     bodies = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("body")
     sets = bodies.mapInArrow(lambda found: sets_of(found, size), "sequence binary, shingles array<bigint>")
     sets = sets.join(asked.select("node", "sequence"), "sequence").select("node", "shingles").dropDuplicates(["node"])
-    sets = stage(sets, "minhash-sets")
+    return stage(sets, "minhash-sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those ``pairs`` (a, b) of nodes whose whole shingle sets are similar enough."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("one"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("two"))
     common = F.size(F.array_intersect("one", "two"))
@@ -211,7 +228,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, doc_id: s
     stars = crowded.filter("node <> centre").select(
         F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     stars = stage(stars.join(first, "a").join(second, "b").filter(likely).select("a", "b"), "minhash-stars")
-    links = stage(confirmed(stars, texts, nodes, percent, size).union(same), "minhash-links")
+    sets = shingles_of(stars.select(F.explode(F.array("a", "b")).alias("node")), texts, nodes, size)
+    links = stage(confirmed(stars, sets, percent).union(same), "minhash-links")
     roots = components(links)
 
     members = crowded.select("band", "key", "node").join(roots, "node", "left").withColumn(
@@ -220,15 +238,27 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, doc_id: s
     parts = members.groupBy("band", "key", "root").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("band", "key").agg(
         F.max_by("root", F.col("n")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    open_ = members.join(mixed.select("band", "key", "main"), ["band", "key"]).join(signed, "node")
-    open_ = stage(open_, "minhash-open")
+    open_ = stage(members.join(mixed.select("band", "key", "main"), ["band", "key"]), "minhash-open")
+    sets = shingles_of(open_, texts, nodes, size)
+    drawn = sets.mapInArrow(sketches, "node bigint, sketch array<bigint>")
+    # one column a word, never null, keeps the comparison in the join short
+    drawn = drawn.select("node", *[F.coalesce(F.col("sketch")[i], F.lit(0)).alias(f"s{i}") for i in range(WIDE // 64)])
+    # and the upper halves of the band keys: a pair is only compared in the first band that it shares
+    banded = nodes.select("node", *[F.coalesce(F.expr(f"cast(bands[{i}] >> 32 AS int)"), F.lit(0)).alias(f"k{i}")
+                                    for i in range(BANDS - 1)])
+    open_ = open_.join(drawn.join(banded, "node"), "node")
     outer = open_.filter("root <> main").select(
-        "band", "key", F.col("node").alias("x"), F.col("root").alias("x_root"), F.col("signature").alias("one"))
-    cross = outer.join(open_.withColumnRenamed("signature", "two"), ["band", "key"]).filter(
-        f"x_root <> root AND (root = main OR x < node) AND {likely}")
+        "band", "key", F.col("node").alias("x"), F.col("root").alias("x_root"),
+        *[F.col(f"s{i}").alias(f"x{i}") for i in range(WIDE // 64)],
+        *[F.col(f"k{i}").alias(f"y{i}") for i in range(BANDS - 1)])
+    differ = " + ".join(f"bit_count(x{i} ^ s{i})" for i in range(WIDE // 64))
+    earlier = " OR ".join(f"(band > {i} AND y{i} = k{i})" for i in range(BANDS - 1))
+    most = int((1 - percent / 100 + WIDE_SLACK) / 2 * WIDE)
+    cross = outer.join(open_, ["band", "key"]).filter(
+        f"x_root <> root AND (root = main OR x < node) AND {differ} <= {most} AND NOT ({earlier})")
     cross = stage(cross.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct(),
                   "minhash-cross")
-    more = stage(confirmed(cross, texts, nodes, percent, size), "minhash-more")
+    more = stage(confirmed(cross, sets, percent), "minhash-more")
     if not more.isEmpty():
         roots = components(links.union(more))
 
@@ -244,6 +274,20 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, doc_id: s
     ).withColumn("kept", F.expr("doc_id <=> component_id"))
 
 
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, with all their columns: one document of each group, one row of each document.
+
+    Rows without a doc_id cannot be told apart by it; of those, one of each text stays.
+    """
+    kept = near_duplicates(docs, doc_id=doc_id, text=text, **options).filter("kept AND doc_id IS NOT NULL")
+    kept = kept.select(F.col("doc_id").alias("kept_id")).distinct()
+    held = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("bigint").alias("held_id"))
+    named = held.join(kept, F.col("held_id") == F.col("kept_id"), "left_semi")
+    first = F.row_number().over(Window.partitionBy("held_id").orderBy(F.col(f"row.{text}")))
+    named = named.withColumn("first", first).filter("first = 1").select("row.*")
+    return named.unionByName(docs.filter(F.col(doc_id).isNull()).dropDuplicates([text]))
+
+
 def op10(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs)
 
