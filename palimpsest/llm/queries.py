@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import anchors, binpack, hmm, host_rules, interleave, licenses, minhash, pieces, setjoin
+from palimpsest.llm import anchors, binpack, bwt, hmm, host_rules, interleave, licenses, minhash, pieces, setjoin
 from palimpsest.sources.tables import read_table
 
 
@@ -19,6 +19,7 @@ def with_benchmark(build: Callable[[DataFrame, DataFrame], DataFrame]) -> Callab
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_merged_bwt": over_documents(bwt.op1),
     "op2_host_rules": over_documents(host_rules.op2),
     "op3_block_anchors": over_documents(anchors.op3),
     "op4_hmm_likelihood": over_documents(hmm.op4),
