@@ -73,7 +73,7 @@ def anchored(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(place)) - 1
     first, last = first[inside[first]], last[inside[first]]
-    return first, last, h[place[first]]
+    return first, last, mix(h[place[first]])  # mixed anew, as anchors have small hashes
 
 
 def shards(found: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[Texts, pa.RecordBatch, tuple]]]:
@@ -287,7 +287,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("body"))
     size = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    layout = Layout(size // 40, per_bucket=1 << 16)
+    layout = Layout(size // 40, per_bucket=1 << 15)
     index = rows.select("doc_id", "body").mapInArrow(
         lambda found: anchor_rows(found, layout), "bucket bigint, prints binary, several binary, block binary")
     shares = index.groupBy("bucket").applyInArrow(filter_rows(layout), "bucket bigint, bits binary").toArrow()
