@@ -10,10 +10,10 @@ id, or before in its own.
 2. Consecutive windows of one marked anchor make a snippet.  A snippet repeated within a shard is settled
    there; the first of each kind goes to the bucket of its anchor, once per shard.
 3. A bucket holds the snippets of many shards.  For each shard they form a collection of strings over an
-   alphabet of 20-byte blocks (each place starts one, so every suffix is there), with a transform of its
+   alphabet of 25-byte blocks (each place starts one, so every suffix is there), with a transform of its
    own.  The transforms are merged by refining their interleave: one round deals the shards' symbols out
    in the order so far, which sorts by one block more, and a boundary that first shows in round h
-   tells a common prefix of h - 1 blocks.  No suffix is compared with another.  After five rounds the
+   tells a common prefix of h - 1 blocks.  No suffix is compared with another.  After four rounds the
    intervals without a boundary are the repeated windows; all but the first of each are removed.
 """
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.anchors import LAST, Layout, filter_rows, groups
 from palimpsest.llm.words import K1, K2, KEEP, Shared, Texts, U, batches, mix, slices
 
-LENGTH, GRAM, BLOCK = 100, 24, 20
+LENGTH, GRAM, BLOCK = 100, 24, 25
 ROUNDS = LENGTH // BLOCK
 SHARD = 16 << 20  # bytes of text settled at once
 
@@ -173,19 +173,38 @@ def snippet_rows(found: Iterator[pa.RecordBatch], layout: Layout, bits: Shared)
             yield snippet_batch(1, bucket, ids, marks, starts, sizes, None)
 
 
-def deal(order: np.ndarray, offset: np.ndarray, symbol: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def ranked(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The stable order of ``keys``, by 16 bits at a time, which numpy deals out without comparing."""
+    order = np.argsort((keys & 0xFFFF).astype(np.uint16), kind="stable").astype(np.int32)
+    for low in range(16, bits, 16):
+        digit = ((keys >> keys.dtype.type(low)) & keys.dtype.type(0xFFFF)).astype(np.uint16)
+        order = order[np.argsort(digit[order], kind="stable")]
+    return order
+
+
+def numbered(hashes: np.ndarray) -> np.ndarray:
+    """Equal hashes get equal numbers from 0 on."""
+    order = ranked(hashes, 64)
+    found = hashes[order]
+    out = np.empty(len(hashes), np.int32)
+    out[order] = np.cumsum(np.concatenate([[False], found[1:] != found[:-1]]), dtype=np.int32)
+    return out
+
+
+def deal(order: np.ndarray, offset: np.ndarray, symbol: np.ndarray, ends: np.ndarray, bits: int) -> np.ndarray:
     """One round within shards: places sorted by one block more than in ``order``."""
     before = order[offset[order] >= BLOCK] - BLOCK
-    return np.concatenate([ends, before[np.argsort(symbol[before], kind="stable")]])
+    return np.concatenate([ends, before[ranked(symbol[before], bits)]])
 
 
 def transforms(offset: np.ndarray, symbol: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of each shard's suffixes in order, shard after shard, and the block before each (-1: none)."""
-    ends = np.flatnonzero(symbol < 0)
-    order = np.concatenate([ends, np.flatnonzero(symbol >= 0)])
+    ends = np.flatnonzero(symbol < 0).astype(np.int32)
+    order = np.concatenate([ends, np.flatnonzero(symbol >= 0).astype(np.int32)])
+    bits = int(symbol.max()).bit_length()
     for _ in range(ROUNDS):
-        order = deal(order, offset, symbol, ends)
-    order = order[np.argsort(shard[order], kind="stable")]
+        order = deal(order, offset, symbol, ends, bits)
+    order = order[ranked(shard[order], int(shard[-1]).bit_length())]
     return order, np.where(offset[order] >= BLOCK, symbol[order - BLOCK], -1)
 
 
@@ -202,21 +221,22 @@ def interleave(before: np.ndarray, shard: np.ndarray, n_ends: np.ndarray) -> tup
     ends = np.repeat(np.arange(len(n_ends), dtype=kind), n_ends)
     common = np.full(n, ROUNDS, np.int32)
     common[:1] = 0
-    interval = np.zeros(n, np.int64)
+    interval = np.zeros(n, np.int32)
+    bits = int(before.max()).bit_length()
     for h in range(1, ROUNDS + 1):
-        row = np.empty(n, np.int64)
-        row[np.argsort(z, kind="stable")] = np.arange(n)
+        row = np.empty(n, np.int32)
+        row[np.argsort(z, kind="stable")] = np.arange(n, dtype=np.int32)
         found = before[row]
-        has = np.flatnonzero(found >= 0)
-        has = has[np.argsort(found[has], kind="stable")]
+        has = np.flatnonzero(found >= 0).astype(np.int32)
+        has = has[ranked(found[has], bits)]
         symbol, source = found[has], interval[has]
         z = np.concatenate([ends, z[has]])
         new = np.zeros(n, bool)
         new[len(ends) :] = np.concatenate([[True], (symbol[1:] != symbol[:-1]) | (source[1:] != source[:-1])]) if len(has) else []
         common[new & (common == ROUNDS)] = h - 1
-        interval = np.cumsum(new)
-    row = np.empty(n, np.int64)
-    row[np.argsort(z, kind="stable")] = np.arange(n)
+        interval = np.cumsum(new, dtype=np.int32)
+    row = np.empty(n, np.int32)
+    row[np.argsort(z, kind="stable")] = np.arange(n, dtype=np.int32)
     return row, common
 
 
@@ -226,13 +246,13 @@ def repeated(body: np.ndarray, sizes: np.ndarray, shard: np.ndarray, ids: np.nda
     ``body`` holds snippets of ``sizes`` bytes, each followed by a zero byte; ``shard`` runs upwards from 0.
     """
     slots = sizes.astype(np.int64) + 1
-    own = np.repeat(np.arange(len(sizes)), slots)
-    offset = np.arange(len(body)) - np.repeat(np.cumsum(slots) - slots, slots)
-    room = slots[own] - 1 - offset
-    symbol = np.full(len(body), -1, np.int64)
+    own = np.repeat(np.arange(len(sizes), dtype=np.int32), slots)
+    offset = (np.arange(len(body)) - np.repeat(np.cumsum(slots) - slots, slots)).astype(np.int32)
+    room = np.repeat(sizes.astype(np.int32), slots) - offset
+    symbol = np.full(len(body), -1, np.int32)
     full = np.flatnonzero(room >= BLOCK)
-    symbol[full] = np.unique(gram_hashes(body, BLOCK)[full], return_inverse=True)[1]
-    place_shard = shard[own]
+    symbol[full] = numbered(gram_hashes(body, BLOCK)[full])
+    place_shard = shard[own].astype(np.int32)
     order, before = transforms(offset, symbol, place_shard)
     n_ends = np.bincount(place_shard[symbol < 0], minlength=int(shard[-1]) + 1)
     row, common = interleave(before, place_shard[order], n_ends)
