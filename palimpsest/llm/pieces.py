@@ -188,7 +188,8 @@ def count_words(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in found:
         for lang, rows in batch.groupby("lang"):
             counts = Counter(w for text in rows["text"] for words in words_of(text) for w in words)
-            yield pd.DataFrame({"lang": lang, "word": list(counts), "n": list(counts.values())})
+            if counts:
+                yield pd.DataFrame({"lang": lang, "word": list(counts), "n": list(counts.values())})
 
 
 def training_rows(docs: DataFrame, doc_id: str, text: str, lang: str, seed_mod: int = 5) -> DataFrame:
