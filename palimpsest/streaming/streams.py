@@ -46,6 +46,16 @@ def _run(stream: DataFrame, folder: str, handle: Callable[[DataFrame, int], None
     )
 
 
+def _earlier_state(spark: SparkSession, folder: str, number: int) -> DataFrame | None:
+    """What the micro-batch before left; only the first may start without."""
+    if number == 0:
+        return None
+    path = f"{folder}/state/{number - 1}"
+    if not _exists(spark, path):
+        raise RuntimeError(f"the state of the micro-batch before is missing or unfinished: {path}")
+    return spark.read.parquet(path)
+
+
 def quota_stream(requests: DataFrame, users: DataFrame, docs: DataFrame, folder: str) -> StreamingQuery:
     """Daily quota on a stream of ``request_id, user_id, document_id, ts``.
 
@@ -54,11 +64,9 @@ def quota_stream(requests: DataFrame, users: DataFrame, docs: DataFrame, folder:
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        earlier = f"{folder}/state/{number - 1}"
         people = users.select("id", "role", "daily_check_limit")
-        state = None
-        if number > 0 and _exists(spark, earlier):
-            state = spark.read.parquet(earlier)
+        state = _earlier_state(spark, folder, number)
+        if state is not None:
             people = people.join(state, "id", "left")
         else:
             people = people.withColumns(
@@ -83,17 +91,17 @@ def quota_stream(requests: DataFrame, users: DataFrame, docs: DataFrame, folder:
     return _run(requests, folder, handle)
 
 
-def upload_dedup_stream(uploads: DataFrame, folder: str, hours: int = HOURS) -> StreamingQuery:
+def upload_dedup_stream(uploads: DataFrame, folder: str, hours: int = HOURS, lateness_hours: int = 0) -> StreamingQuery:
     """Repeated uploads on a stream of ``id, user_id, file_name, file_size, ts``.
 
-    The state holds the last stored upload per key while it is young enough to matter.
+    The state holds the last stored upload per key.  A key leaves it when it is more than ``hours`` plus
+    ``lateness_hours`` older than the earliest upload of a micro-batch, so a time stamp in the future drops none.
     """
     keys = ["user_id", "file_name", "file_size"]
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        earlier = f"{folder}/state/{number - 1}"
-        state = spark.read.parquet(earlier) if number > 0 and _exists(spark, earlier) else None
+        state = _earlier_state(spark, folder, number)
         upload_dedup(batch, tuple(keys), hours, state).write.mode("overwrite").parquet(
             f"{folder}/out/{number}"
         )
@@ -101,9 +109,10 @@ def upload_dedup_stream(uploads: DataFrame, folder: str, hours: int = HOURS) ->
         rows = rows if state is None else rows.unionByName(state.select("id", *keys, "ts"))
         newest = rows.groupBy(*keys).agg(F.max_by(F.struct("id", "ts"), "ts").alias("last"))
         seen = newest.select("last.id", *keys, "last.ts")
-        top = seen.agg(F.max("ts").alias("top")).first()["top"]
-        young = seen.filter(F.col("ts") > F.lit(top) - F.expr(f"INTERVAL {hours} HOURS"))
-        young.write.mode("overwrite").parquet(f"{folder}/state/{number}")
+        least = batch.agg(F.min("ts").alias("least")).first()["least"]
+        if least is not None:
+            seen = seen.filter(F.col("ts") > F.lit(least) - F.expr(f"INTERVAL {hours + lateness_hours} HOURS"))
+        seen.write.mode("overwrite").parquet(f"{folder}/state/{number}")
 
     return _run(uploads, folder, handle)
 
@@ -143,7 +152,7 @@ def check_stream(
                 F.lit(0).cast("long").alias("total_matched_documents"),
                 F.lit(None).cast("double").alias("ai_probability"),
                 F.lit(None).cast("string").alias("detection_level"),
-                F.lit(fixed.CHECK_FAILED + str(error)[:500]).alias("notes"),
+                F.lit(fixed.CHECK_FAILED + str(error)).alias("notes"),
             )
             rows.write.mode("overwrite").parquet(target)
         finally:

@@ -132,3 +132,22 @@ def test_check_stream_completes_and_reports_failure(spark, tmp_path):
     streams.check_stream(arriving(spark, str(tmp_path / "in"), frame.schema), broken, str(tmp_path / "f")).awaitTermination()
     failed = streams.read_results(spark, str(tmp_path / "f")).collect()
     assert {r.status for r in failed} == {"Failed"} and all(r.notes.startswith(fixed.CHECK_FAILED) for r in failed)
+
+
+def test_lost_state_ends_the_stream(spark, tmp_path):
+    assert streams._earlier_state(spark, str(tmp_path), 0) is None
+    spark.range(3).write.parquet(str(tmp_path / "state" / "0"))
+    assert streams._earlier_state(spark, str(tmp_path), 1).count() == 3
+    with pytest.raises(RuntimeError):
+        streams._earlier_state(spark, str(tmp_path), 2)
+
+
+def test_a_time_in_the_future_drops_no_other_key(spark, tmp_path):
+    minutes = [(1, "a", 0), (2, "b", 10), (3, "far", 60 * 24 * 365), (4, "a", 30), (5, "b", 40)]
+    rows = [(i, 1, name, 1, DAY + timedelta(minutes=at)) for i, name, at in minutes]
+    for part in (rows[:3], rows[3:]):
+        spark.createDataFrame(part, UPLOADS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    frame = spark.createDataFrame(rows, UPLOADS)
+    streams.upload_dedup_stream(arriving(spark, str(tmp_path / "in"), frame.schema), str(tmp_path / "u")).awaitTermination()
+    got = {r.id: r.anchor_id for r in streams.read_results(spark, str(tmp_path / "u")).collect()}
+    assert got == folded(rows)
