@@ -9,6 +9,9 @@ id, or before in its own.
    share of a filter.  The filter has a fixed largest size; a fuller one costs time, not results.
 2. Consecutive windows of one marked anchor make a snippet.  A snippet repeated within a shard is settled
    there; the first of each kind goes to the bucket of its anchor, once per shard.
+   An anchor with too many different snippets is crowded (a fixed phrase in ever new contexts).  Its windows
+   go one by one to buckets by a 128-bit hash of their bytes, so that only equal ones meet; those repeated
+   within a part of a shard are settled there.
 3. A bucket holds the snippets of many shards.  For each shard they form a collection of strings over an
    alphabet of 25-byte blocks (each place starts one, so every suffix is there), with a transform of its
    own.  The transforms are merged by refining their interleave: one round deals the shards' symbols out
@@ -27,12 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.anchors import LAST, Layout, filter_rows, groups
+from palimpsest.llm.anchors import LAST, Layout, groups
 from palimpsest.llm.words import K1, K2, KEEP, Shared, Texts, U, batches, mix, slices
 
 LENGTH, GRAM, BLOCK = 100, 24, 25
 ROUNDS = LENGTH // BLOCK
 SHARD = 16 << 20  # bytes of text settled at once
+CROWD = 1 << 12  # different snippets of an anchor, added up over shards, beyond which it is crowded
+WINDOWS = 1 << 19  # windows of crowded anchors settled at once
+SEEDS = (LENGTH, LENGTH << 32)
 
 SNIPPETS = "bucket bigint, kind int, ids binary, marks binary, starts binary, sizes binary, bodies binary"
 SPANS = "doc_id bigint, mark bigint, spans binary"
@@ -49,6 +55,16 @@ def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
     return h
 
 
+def hashes_at(data: np.ndarray, at: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of the ``LENGTH`` bytes from each place of ``at`` on."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    h = np.full(len(at), seed, U)
+    for step in range(0, LENGTH, 8):
+        h = mix((h ^ (eight[at + step] & KEEP[min(8, LENGTH - step)])) * K1 + K2)
+    return h
+
+
 def anchored(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one anchor: the first start, the last start, and the hash of the anchor."""
     data = texts.data
@@ -91,23 +107,63 @@ def shards(found: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[Texts, pa.Rec
 
 
 def anchor_rows(found: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.RecordBatch]:
-    """The distinct anchors of each shard, and whether they stand in it more than once."""
+    """The distinct anchors of each shard, whether they stand in it more than once, and if so with how many snippets."""
     for shard in shards(found):
-        h = np.sort(np.concatenate([runs[2] for _, _, runs in shard]))
+        h = np.concatenate([runs[2] for _, _, runs in shard])
         if not len(h):
             continue
-        at = groups(h)
-        several = np.diff(np.append(at, len(h))) > 1
-        h = h[at]
+        order = np.argsort(h)
+        at = groups(h[order])
+        size = np.diff(np.append(at, len(h)))
+        several = size > 1
+        # the first and the last window hold all bytes of a snippet
+        again = np.zeros(len(h), bool)
+        again[order] = np.repeat(several, size)
+        bodies, base = np.zeros(len(h), U), 0
+        for texts, _, (first, last, own) in shard:
+            live = np.flatnonzero(again[base : base + len(own)])
+            ends = [hashes_at(texts.data, place[live], LENGTH) for place in (first, last)]
+            bodies[base + live] = mix(ends[0] * K1 + ends[1] + (last - first)[live].astype(U))
+            base += len(own)
+        inner = order[again[order]]
+        inner = inner[np.lexsort((bodies[inner], h[inner]))]
+        new = np.concatenate([[True], (h[inner][1:] != h[inner][:-1]) | (bodies[inner][1:] != bodies[inner][:-1])]) if len(inner) else again[:0]
+        counts = np.add.reduceat(new.astype(np.uint32), groups(h[inner])) if len(inner) else np.zeros(0, np.uint32)
+        h = h[order][at]
         bucket, prints = layout.bucket(h), layout.print_(h)
         cuts = np.append(groups(bucket), len(bucket))
         spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+        told = np.concatenate([[0], np.cumsum(several)]).tolist()
         yield pa.RecordBatch.from_arrays(
             [pa.array([int(bucket[a]) for a, _ in spans], pa.int64()),
              pa.array([prints[a:b].tobytes() for a, b in spans], pa.binary()),
              pa.array([np.packbits(several[a:b]).tobytes() for a, b in spans], pa.binary()),
-             pa.array([np.packbits(np.ones(b - a, bool)).tobytes() for a, b in spans], pa.binary())],
-            names=["bucket", "prints", "several", "block"])
+             pa.array([counts[told[a] : told[b]].astype(np.uint32).tobytes() for a, b in spans], pa.binary())],
+            names=["bucket", "prints", "several", "counts"])
+
+
+def share_rows(layout: Layout, crowd: int):
+    """A bucket's share of the filter, and its anchors with more than ``crowd`` snippets."""
+    def reduce(table: pa.Table) -> pa.Table:
+        prints, counts, several = [], [], []
+        for p, s, c in zip(*[table.column(c).to_pylist() for c in ("prints", "several", "counts")]):
+            prints.append(np.frombuffer(p, np.uint32))
+            several.append(np.unpackbits(np.frombuffer(s, np.uint8), count=len(prints[-1])).astype(bool))
+            counts.append(np.ones(len(prints[-1]), np.int64))
+            counts[-1][several[-1]] = np.frombuffer(c, np.uint32)
+        p, s, n = np.concatenate(prints), np.concatenate(several), np.concatenate(counts)
+        order = np.argsort(p)
+        p, s, n = p[order], s[order], n[order]
+        at = groups(p)
+        shared = (np.diff(np.append(at, len(p))) > 1) | np.logical_or.reduceat(s, at)
+        bits = np.zeros(layout.width, bool)
+        for places in layout.places(p[at][shared]):
+            bits[places] = True
+        crowded = p[at][shared & (np.add.reduceat(n, at) > crowd)]
+        return pa.table({"bucket": table.column("bucket")[:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary()),
+                         "crowded": pa.array([crowded.tobytes()], pa.binary())})
+
+    return reduce
 
 
 def marked(h: np.ndarray, layout: Layout, bits: np.ndarray) -> np.ndarray:
@@ -119,8 +175,16 @@ def marked(h: np.ndarray, layout: Layout, bits: np.ndarray) -> np.ndarray:
     return (out & 1).astype(bool)
 
 
-def snippet_batch(kind: int, bucket: np.ndarray, ids, marks, starts, sizes, bodies: list[bytes] | None) -> pa.RecordBatch:
-    """Rows of one kind, packed by bucket; each body is followed by one zero byte."""
+def within(h: np.ndarray, layout: Layout, crowded: np.ndarray) -> np.ndarray:
+    """Which anchors are among ``crowded``, sorted buckets and prints in one number."""
+    if not len(crowded):
+        return np.zeros(len(h), bool)
+    key = h >> U(32 - layout.bits)
+    return crowded[np.minimum(np.searchsorted(crowded, key), len(crowded) - 1)] == key
+
+
+def snippet_batch(kind: int, bucket: np.ndarray, ids, marks, starts, sizes, bodies: list[bytes] | np.ndarray | None) -> pa.RecordBatch:
+    """Rows of one kind, packed by bucket; each body is followed by one zero byte, hashes stand as they are."""
     ids, marks, starts = (np.array(x, np.int64) for x in (ids, marks, starts))
     sizes = np.array(sizes, np.int32)
     order = np.lexsort((starts, ids, bucket))
@@ -128,26 +192,83 @@ def snippet_batch(kind: int, bucket: np.ndarray, ids, marks, starts, sizes, bodi
     cuts = np.append(groups(bucket), len(bucket))
     spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
     packed = [pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (ids, marks, starts, sizes)]
-    text = [b"".join(bodies[i] + b"\0" for i in order[a:b].tolist()) if bodies else None for a, b in spans]
+    if isinstance(bodies, np.ndarray):
+        text = [bodies[order[a:b]].tobytes() for a, b in spans]
+    else:
+        text = [b"".join(bodies[i] + b"\0" for i in order[a:b].tolist()) if bodies else None for a, b in spans]
     return pa.RecordBatch.from_arrays(
         [pa.array([int(bucket[a]) for a, _ in spans], pa.int64()), pa.array([kind] * len(spans), pa.int32()), *packed,
          pa.array(text, pa.binary())], names=["bucket", "kind", "ids", "marks", "starts", "sizes", "bodies"])
 
 
-def snippet_rows(found: Iterator[pa.RecordBatch], layout: Layout, bits: Shared) -> Iterator[pa.RecordBatch]:
-    """Kind 0: the first of each marked snippet of a shard.  Kind 1: its repeats there, without text."""
+def earliest(hashes: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Marks the windows of which no equal one starts earlier; ``hashes`` has two columns."""
+    order = np.lexsort((starts, ids, hashes[:, 1], hashes[:, 0]))
+    found = hashes[order]
+    at = np.flatnonzero(np.concatenate([[True], (found[1:] != found[:-1]).any(axis=1)]))
+    least = np.repeat(order[at], np.diff(np.append(at, len(order))))
+    out = np.empty(len(order), bool)
+    out[order] = (ids[order] == ids[least]) & (starts[order] == starts[least])
+    return out
+
+
+def id_bucket(ids: np.ndarray, layout: Layout) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(U)) >> U(64 - layout.bits)).astype(np.int64)
+
+
+def window_rows(runs: list[tuple[np.ndarray, ...]], layout: Layout) -> Iterator[pa.RecordBatch]:
+    """Kind 2: the first of each window under crowded anchors.  Kind 1: its repeats.  Settled part by part.
+
+    ``runs`` are of one list of texts each: its bytes, and for each run anchor, place, windows, id, mark, start.
+    """
+    data = np.concatenate([run[0] for run in runs])
+    base = np.cumsum([0] + [len(run[0]) for run in runs])
+    h, begin, width, ids, marks, starts = (np.concatenate(x) for x in zip(*(run[1:] for run in runs)))
+    begin = begin + np.repeat(base[:-1], [len(run[1]) for run in runs])
+    order = np.argsort(h, kind="stable")
+    upto = np.cumsum(width[order])
+    for part in np.split(order, np.searchsorted(upto, np.arange(WINDOWS, upto[-1], WINDOWS))):
+        if not len(part):
+            continue
+        n = width[part]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at, i, m, s = np.repeat(begin[part], n) + step, np.repeat(ids[part], n), np.repeat(marks[part], n), np.repeat(starts[part], n) + step
+        hashes = np.stack([hashes_at(data, at, seed) for seed in SEEDS], axis=1)
+        first = earliest(hashes, i, s)
+        bucket = layout.bucket(hashes[first, 0])
+        yield snippet_batch(2, bucket, i[first], m[first], s[first], np.full(len(bucket), LENGTH), hashes[first])
+        if first.all():
+            continue
+        i, m, s = i[~first], m[~first], s[~first]
+        by = np.lexsort((s, m, i))
+        i, m, s = i[by], m[by], s[by]
+        new = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (m[1:] != m[:-1]) | (s[1:] - s[:-1] > 1)]))
+        last = s[np.append(new[1:], len(s)) - 1]
+        yield snippet_batch(1, id_bucket(i[new], layout), i[new], m[new], s[new], last - s[new] + LENGTH, None)
+
+
+def snippet_rows(found: Iterator[pa.RecordBatch], layout: Layout, bits: Shared, crowded: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Kind 0: the first of each marked snippet of a shard.  Kind 1: its repeats there, without text.
+
+    Snippets under crowded anchors are left to ``window_rows``.
+    """
     for shard in shards(found):
         first: dict[bytes | tuple[bytes, int], tuple[int, int, int, int]] = {}
         later: list[tuple[int, int, int, int]] = []
+        apart = []
         for texts, batch, (begin, end, h) in shard:
             hit = marked(h, layout, bits.value)
-            begin, end, bucket = begin[hit], end[hit], layout.bucket(h[hit])
+            begin, end, h = begin[hit], end[hit], h[hit]
             owner = np.searchsorted(texts.offsets, begin, side="right") - 1
-            ids = batch.column("doc_id").fill_null(LAST).to_numpy(zero_copy_only=False)[owner].tolist()
-            marks = batch.column("mark").to_numpy(zero_copy_only=False)[owner].tolist()
-            starts = (begin - texts.offsets[owner]).tolist()
+            ids = batch.column("doc_id").fill_null(LAST).to_numpy(zero_copy_only=False)[owner]
+            marks = batch.column("mark").to_numpy(zero_copy_only=False)[owner]
+            starts = begin - texts.offsets[owner]
+            many = within(h, layout, crowded)
+            if many.any():
+                apart.append((texts.data, *(x[many] for x in (h, begin, end - begin + 1, ids, marks, starts))))
+            columns = (x[~many].tolist() for x in (begin, end + LENGTH, ids, marks, starts, layout.bucket(h)))
             whole = texts.data.tobytes()
-            for a, b, i, m, s, k in zip(begin.tolist(), (end + LENGTH).tolist(), ids, marks, starts, bucket.tolist()):
+            for a, b, i, m, s, k in zip(*columns):
                 body, new = whole[a:b], (i, s, m, k)
                 old = first.setdefault(body, new)
                 if old is new or old[:3] == new[:3]:
@@ -169,8 +290,9 @@ def snippet_rows(found: Iterator[pa.RecordBatch], layout: Layout, bits: Shared)
             yield snippet_batch(0, np.array(bucket, np.int64), ids, marks, starts, [len(x) for x in bodies], bodies)
         if later:
             ids, starts, marks, sizes = (np.array(x) for x in zip(*later))
-            bucket = (mix(ids.astype(np.int64).view(U)) >> U(64 - layout.bits)).astype(np.int64)
-            yield snippet_batch(1, bucket, ids, marks, starts, sizes, None)
+            yield snippet_batch(1, id_bucket(ids, layout), ids, marks, starts, sizes, None)
+        if apart:
+            yield from window_rows(apart, layout)
 
 
 def ranked(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -272,12 +394,14 @@ def repeated(body: np.ndarray, sizes: np.ndarray, shard: np.ndarray, ids: np.nda
 
 def span_rows(table: pa.Table) -> pa.Table:
     """``doc_id, mark, spans``: first and last starts of removed windows, packed per document."""
-    found, parts = [], []
+    found, parts, windows = [], [], []
     columns = [table.column(c).to_pylist() for c in ("kind", "ids", "marks", "starts", "sizes", "bodies")]
     for kind, *packed, body in zip(*columns):
         ids, marks, starts = (np.frombuffer(x, np.int64) for x in packed[:3])
         sizes = np.frombuffer(packed[3], np.int32)
-        if kind:
+        if kind == 2:
+            windows.append((ids, marks, starts, np.frombuffer(body, U).reshape(-1, 2)))
+        elif kind:
             found.append((ids, marks, starts, starts + sizes - LENGTH))
         else:
             parts.append((ids, marks, starts, sizes, np.frombuffer(body, np.uint8)))
@@ -291,6 +415,10 @@ def span_rows(table: pa.Table) -> pa.Table:
         at = np.cumsum(slots) - slots
         own = np.searchsorted(at, a, side="right") - 1
         found.append((ids[own], marks[own], starts[own] + a - at[own], starts[own] + b - at[own]))
+    if windows:
+        ids, marks, starts, hashes = (np.concatenate(x) for x in zip(*windows))
+        gone = ~earliest(hashes, ids, starts)
+        found.append((ids[gone], marks[gone], starts[gone], starts[gone]))
     ids, marks, a, b = (np.concatenate(x) for x in zip(*found))
     order = np.lexsort((a, marks, ids))
     ids, marks, a, b = ids[order], marks[order], a[order], b[order]
@@ -300,23 +428,27 @@ def span_rows(table: pa.Table) -> pa.Table:
                      "spans": pa.array([np.concatenate([a[i:j], b[i:j]]).tobytes() for i, j in zip(cuts[:-1], cuts[1:])], pa.binary())})
 
 
-def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", crowd: int = CROWD) -> DataFrame:
     """``doc_id, mark, spans``: packed first and last starts of removed windows; ``mark`` is a hash of the text.
 
+    ``crowd`` is how many snippets may meet under one anchor; it decides the way taken, not the result.
+
     Rows without an id come behind all others, under the largest id there is.
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("body"))
     size = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     layout = Layout(size // 40, per_bucket=1 << 15)
     index = rows.select("doc_id", "body").mapInArrow(
-        lambda found: anchor_rows(found, layout), "bucket bigint, prints binary, several binary, block binary")
-    shares = index.groupBy("bucket").applyInArrow(filter_rows(layout), "bucket bigint, bits binary").toArrow()
+        lambda found: anchor_rows(found, layout), "bucket bigint, prints binary, several binary, counts binary")
+    shares = index.groupBy("bucket").applyInArrow(share_rows(layout, crowd), "bucket bigint, bits binary, crowded binary").toArrow()
     bits = np.zeros(layout.buckets * layout.width // 8, np.uint8)
-    for bucket, share in zip(shares.column("bucket").to_pylist(), shares.column("bits").to_pylist()):
+    many = [np.zeros(0, U)]
+    for bucket, share, crowded in zip(*(shares.column(c).to_pylist() for c in ("bucket", "bits", "crowded"))):
+        many.append((U(bucket) << U(32)) | np.frombuffer(crowded, np.uint32).astype(U))
         bits[bucket * layout.width // 8 : (bucket + 1) * layout.width // 8] = np.frombuffer(share, np.uint8)
-    shared = Shared(docs.sparkSession, bits)
+    shared, many = Shared(docs.sparkSession, bits), np.sort(np.concatenate(many))
     found = rows.withColumn("mark", F.xxhash64("body")).mapInArrow(
-        lambda batches_: snippet_rows(batches_, layout, shared), SNIPPETS)
+        lambda batches_: snippet_rows(batches_, layout, shared, many), SNIPPETS)
     return found.groupBy("bucket").applyInArrow(span_rows, SPANS).groupBy("doc_id", "mark").agg(
         F.collect_list("spans").alias("spans"))
 
@@ -353,14 +485,14 @@ def counter():
     return count
 
 
-def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", crowd: int = CROWD) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row.
 
     A null or empty text has no bytes, and a text of less than 100 bytes loses none.  Of rows with the
     same id only an earlier start counts as earlier, so that two equal rows of one id both stay; a row
     without an id comes after all others.  Other columns are ignored.
     """
-    found = repeats(docs, doc_id, text).select(F.col("doc_id").alias("found_id"), F.col("mark").alias("found_mark"), "spans")
+    found = repeats(docs, doc_id, text, crowd).select(F.col("doc_id").alias("found_id"), F.col("mark").alias("found_mark"), "spans")
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").cast("binary").alias("body")).select(
         "doc_id", "body", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("held_id"),
         F.xxhash64("body").alias("held_mark"))

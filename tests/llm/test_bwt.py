@@ -2,10 +2,15 @@
 
 import hashlib
 import random
+from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from palimpsest.llm import bwt
+from palimpsest.llm.anchors import Layout
 
 
 def brute(rows):
@@ -42,9 +47,10 @@ def rows_for(seed):
     return rows
 
 
-def measured(spark, rows, parts):
+def measured(spark, rows, parts, **how):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts)
-    return sorted((tuple(r) for r in bwt.measure(docs.selectExpr("*", "1 AS mark", "2 AS body", "3 AS spans")).collect()), key=repr)
+    docs = docs.selectExpr("*", "1 AS mark", "2 AS body", "3 AS spans")
+    return sorted((tuple(r) for r in bwt.measure(docs, **how).collect()), key=repr)
 
 
 def test_equals_brute_force(spark):
@@ -78,3 +84,44 @@ def test_common_prefixes_of_merged_transforms():
         want = [k in (0, 1) or (k == 2 and s > 45) for s in range(n - 99)]
         assert windows[at : at + n - 99] == want
         at += n + 1
+
+
+def in_contexts(n):
+    """One phrase in ``n`` contexts, some of which come back under a later id, in part or whole."""
+    rng = random.Random(6)
+    word = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    rows = [(i, word(80) + "this phrase is the same in every text of the table" + word(80)) for i in range(n)]
+    rows += [(n + i, word(rng.randint(0, 30)) + rows[i][1][rng.randint(0, 90) :]) for i in range(0, n, 7)]
+    rows += [(rng.randint(0, 2 * n), rows[i][1]) for i in range(0, n, 11)] + [(None, rows[3][1]), (5, rows[9][1] + rows[9][1])]
+    rng.shuffle(rows)
+    return rows
+
+
+def test_crowded_anchors_equal_brute_force(spark):
+    rows = in_contexts(600)
+    for crowd, parts in ((0, 3), (40, 9), (1 << 12, 4)):
+        assert measured(spark, rows, parts, crowd=crowd) == brute(rows)
+    rows = rows_for(7)
+    assert measured(spark, rows, 6, crowd=0) == measured(spark, rows, 2, crowd=3) == brute(rows)
+
+
+def test_one_phrase_in_many_contexts_spreads_over_buckets():
+    """Both sides of a phrase differ everywhere: no bucket gets more than a small part of what is sent."""
+    rows = [r for r in in_contexts(8000) if r[0] is not None]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([i for i, _ in rows]), pa.array([t.encode() for _, t in rows], pa.binary()), pa.array(range(len(rows)), pa.int64())],
+        names=["doc_id", "body", "mark"])
+    layout = Layout(1 << 16, per_bucket=1 << 15)
+    index = pa.Table.from_batches(bwt.anchor_rows(iter([batch]), layout))
+    bits, many = np.zeros(layout.buckets * layout.width // 8, np.uint8), []
+    for bucket in set(index.column("bucket").to_pylist()):
+        share = bwt.share_rows(layout, 100)(index.filter(pc.equal(index.column("bucket"), bucket)))
+        bits[bucket * layout.width // 8 : (bucket + 1) * layout.width // 8] = np.frombuffer(share["bits"][0].as_py(), np.uint8)
+        many.append(np.frombuffer(share["crowded"][0].as_py(), np.uint32).astype(np.uint64) | np.uint64(bucket << 32))
+    many = np.sort(np.concatenate(many))
+    assert len(many)
+    sent = Counter()
+    for rows_ in bwt.snippet_rows(iter([batch]), layout, SimpleNamespace(value=bits), many):
+        for bucket, body in zip(rows_.column("bucket").to_pylist(), rows_.column("bodies").to_pylist()):
+            sent[bucket] += len(body or b"")
+    assert max(sent.values()) < 0.02 * sum(sent.values())
