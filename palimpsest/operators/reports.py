@@ -16,8 +16,6 @@ from palimpsest.functions.ai import from_stored
 from palimpsest.functions.bands import remaining_checks
 from palimpsest.operators.filters import optional_filters
 
-PAGE = 1000
-
 
 def document_list(docs: DataFrame, users: DataFrame, subjects: DataFrame) -> DataFrame:
     """Documents with the name of their user (required) and subject (optional)."""
@@ -52,29 +50,26 @@ def with_parent_name(rows: DataFrame, parents: DataFrame, key: str, name: str) -
     return rows.join(parents.select(F.col("id").alias(key), F.col("name").alias(name)), key)
 
 
-def check_detail(checks: DataFrame, docs: DataFrame, users: DataFrame, matches: DataFrame) -> DataFrame:
-    """One row per check and page of matches, the matches nested with their titles.
+def check_detail(
+    checks: DataFrame, docs: DataFrame, users: DataFrame, matches: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """One header row per check, and one row per match of these checks with its title, ordered by ``pos``.
 
-    ``pos`` is unique within a check, so a page holds at most ``PAGE`` matches and a check with
-    very many of them is spread over many groups.  A check without matches has one empty page.
-    A stored machine-text result is parsed into ``ai_analysis``.
+    Nothing is nested, so a check may have any number of matches at any position; one without
+    matches has its header only.  A stored machine-text result is parsed into ``ai_analysis``.
     """
-    titles = docs.select(F.col("id").alias("matched_document_id"), F.col("title").alias("matched_title"))
-    entry = F.struct(
-        "pos", "matched_document_id", "matched_title", "matched_text", "start_position",
-        "end_position", "similarity_score",
-    )
-    pages = (
-        matches.join(titles, "matched_document_id")
-        .withColumn("page", F.floor(F.col("pos") / PAGE).cast("int"))
-        .groupBy("check_id", "page")
-        .agg(F.sort_array(F.collect_list(entry)).alias("matches"))
-    )
     head = check_history(checks, docs, users)
     if "ai_detection_json" in checks.columns:
         head = head.withColumn("ai_analysis", from_stored(F.col("ai_detection_json")))
-    nested = head.join(pages.withColumnRenamed("check_id", "id"), "id", "left")
-    return nested.withColumn("page", F.coalesce("page", F.lit(0)))
+    titles = docs.select(F.col("id").alias("matched_document_id"), F.col("title").alias("matched_title"))
+    found = matches.join(titles, "matched_document_id").join(
+        head.select(F.col("id").alias("check_id")), "check_id", "left_semi"
+    )
+    rows = found.select(
+        "check_id", "pos", "matched_document_id", "matched_title", "matched_text", "start_position",
+        "end_position", "similarity_score",
+    )
+    return head, rows.orderBy("check_id", "pos", "matched_document_id")
 
 
 def history_top_n(checks: DataFrame, limit: int | None = None) -> DataFrame:

@@ -235,12 +235,14 @@ def catalog_list(m):
       FROM matches m JOIN papers d ON d.id = m.matched_document_id GROUP BY m.check_id"""),
 )
 def check_detail(m):
-    rows = reports.check_detail(m.checks(), m.papers(), m.users(), m.matches())
+    head, rows = reports.check_detail(m.checks(), m.papers(), m.users(), m.matches())
+    entry = F.struct("pos", "matched_document_id", "matched_title", "matched_text")
+    nested = rows.groupBy(F.col("check_id").alias("id")).agg(F.sort_array(F.collect_list(entry)).alias("matches"))
     told = F.transform(
         "matches",
         lambda e: F.concat_ws(":", e["pos"], e["matched_document_id"], e["matched_title"], e["matched_text"]),
     )
-    return rows.select(
+    return head.join(nested, "id", "left").select(
         "id", "source_title", "user_name",
         F.coalesce(F.array_join(told, ";"), F.lit("")).alias("matches"),
         F.coalesce(F.size("matches"), F.lit(0)).cast("long").alias("n_matches"),
