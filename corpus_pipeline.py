@@ -16,7 +16,7 @@ from palimpsest.sources.tables import read_table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves out texts whose language cannot be told."""
+    """Leaves out texts whose language cannot be told; without any label, only those without a letter."""
     return pieces.speaking(docs, pieces.train(docs))
 
 
@@ -58,7 +58,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Trained language models and greedy packing are beyond SQL; the tests hold a brute-force version.
+#: Trained language models and greedy packing are beyond SQL; the tests check properties of the result.
 ORACLE_SQL = None
 QUERIES = {"pipeline": run}
 ORACLES: dict[str, str] = {}

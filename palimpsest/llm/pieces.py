@@ -174,6 +174,8 @@ class Model:
 
     def warm(self, texts: list[str | None]) -> None:
         """Score the words of several short texts at once."""
+        if not self.languages:
+            return
         self.score([w for t in texts if t and len(t) < 1 << 18 for words in words_of(t) for w in words])
 
 
@@ -272,7 +274,12 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
 
 
 def speaking(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose language can be told."""
+    """The rows of ``docs``, with all their columns, whose language can be told.
+
+    When nothing was learned, every text with a letter stays: that no row has a label says nothing of it.
+    """
+    if not model.languages:
+        return docs.filter(F.col(text).cast("string").rlike(r"\p{L}"))
     found = predictor(Shared(docs.sparkSession, model))(F.col(text).cast("string").cast("binary"))
     marked = docs.select(F.struct("*").alias("row"), found.alias("p"))
     return marked.filter(F.col("p.lang") != UNKNOWN).select("row.*")
