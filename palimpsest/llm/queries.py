@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import anchors, binpack, bwt, hmm, host_rules, interleave, licenses, minhash, pieces, setjoin
+from palimpsest.llm import (
+    anchors, binpack, bwt, centroids, forest, hmm, host_rules, interleave, licenses, minhash, pieces, setjoin, whitening,
+)
 from palimpsest.sources.tables import read_table
 
 
@@ -18,6 +20,10 @@ def with_benchmark(build: Callable[[DataFrame, DataFrame], DataFrame]) -> Callab
     return lambda spark, sf_dir: build(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def over_embeddings(build: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: build(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_merged_bwt": over_documents(bwt.op1),
     "op2_host_rules": over_documents(host_rules.op2),
@@ -29,6 +35,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_prefix_set_join": with_benchmark(setjoin.op8),
     "op9_interleave_shards": over_documents(interleave.op9),
     "op10_bbit_minhash": over_documents(minhash.op10),
+    "op11_projection_forest": over_embeddings(forest.op11),
+    "op12_mean_ordered_search": over_embeddings(centroids.op12),
+    "op13_secular_whitening": over_embeddings(whitening.op13),
 }
 
 ORACLES: dict[str, str] = {
@@ -37,4 +46,5 @@ ORACLES: dict[str, str] = {
     "op8_prefix_set_join": setjoin.OP8_SQL,
     "op9_interleave_shards": interleave.OP9_SQL,
     "op10_bbit_minhash": minhash.OP10_SQL,
+    "op12_mean_ordered_search": centroids.OP12_SQL,
 }
