@@ -63,7 +63,7 @@ class Forest:
 
     def heights(self, x: np.ndarray) -> np.ndarray:
         """Projections of unit rows: (rows, trees, levels)."""
-        flat = self.directions.reshape(self.trees * self.levels, -1)
+        flat = self.directions.reshape(self.trees * self.levels, self.directions.shape[2])
         return (x @ flat.T).reshape(len(x), self.trees, self.levels)
 
     def leaves(self, x: np.ndarray) -> np.ndarray:

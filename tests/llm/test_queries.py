@@ -132,5 +132,7 @@ def test_nulls_repeats_and_empty_tables(spark, given, tmp_path):
     spark.createDataFrame([(*r, "x", 1, 2, 3) for r in given], schema).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for name, query in QUERIES.items():
+        if int(re.match(r"op(\d+)_", name)[1]) > 10:
+            continue  # over embeddings: test_vectors.py
         assert len({r["doc_id"] for r in query(spark, str(tmp_path)).collect()}) == len({r[0] for r in given}), name
     corpus_pipeline.run(spark, str(tmp_path)).collect()
