@@ -1,14 +1,15 @@
 """A hidden Markov language model of words.
 
-Emissions are over word classes: each of the most frequent words is a class of its own, all others are
-dealt by their hash to a fixed number of classes, within which a word has its smoothed share.  The size
-of the model is thus a parameter, while the word counts behind it cover the whole corpus and are never
+Emissions are over word classes.  Every word that makes up ``SHARE`` of the training tokens or more is a
+class of its own; the others are dealt by their hash to shared classes of about that mass each, within
+which a word has its smoothed share.  How many classes there are thus follows from the counted corpus, and
+by that rule it stays below 2 / ``SHARE``.  The word counts behind them cover the whole corpus and are never
 gathered in one place: the most frequent words are looked up in the task, the rest by a join.
 
-Baum-Welch runs over all training texts.  Each task adds up the expected counts of its rows, the sums
-over tasks are one aggregation, and only the model's parameters reach the driver.  Training texts are
-cut into segments; scores are exact: the scaled forward recursion runs over the whole text, long ones
-in blocks whose transfer matrices are multiplied.
+Baum-Welch runs over all training texts, whole.  Each task adds up the expected counts of its rows, the
+sums over tasks are one aggregation, and only the model's parameters reach the driver.  Long texts are
+worked on in blocks side by side, exactly: the transfer matrices of the blocks give the forward vector with
+which each block begins and the backward vector with which it ends.
 """
 
 from __future__ import annotations
@@ -25,11 +26,10 @@ from palimpsest.llm.words import NOT_SPACE, Shared, Texts, U, Words, batches, sl
 from palimpsest.scratch import stage
 
 STATES = 8
-FREQUENT = 4096  # words that are a class of their own
-SHARED_CLASSES = 256
+SHARE = 2.0**-18  # of the training tokens: from here on a word is a class of its own
 LOOKUP = 1 << 18  # most frequent words whose counts every task holds: 4 MB
-SEGMENT = 128
-BLOCK = 2048
+BLOCK = 1024  # tokens of a text worked on in one go
+BATCH = 2 << 20  # bytes of text in a task at once
 END = U(1)  # hash of the end mark
 ADD = 0.1
 FLUSH = 1 << 22
@@ -55,7 +55,7 @@ def count_words(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, n = runs(np.concatenate(held))
         return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
 
-    for batch in batches(found, "body"):
+    for batch in batches(found, "body", BATCH):
         hashes = Words(Texts(batch.column("body"), lower=True), NOT_SPACE).hashes()
         held += [hashes, np.full(batch.num_rows, END)]
         size += len(hashes) + batch.num_rows
@@ -67,29 +67,27 @@ def count_words(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Lexicon:
-    """Counts of the most frequent words, and sizes of the shared classes."""
+    """Counts of the most frequent words, their classes, and sizes of the shared classes."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, tokens: int, kinds: int,
-                 class_tokens: np.ndarray, class_kinds: np.ndarray, frequent: int):
+    def __init__(self, words: np.ndarray, counts: np.ndarray, own: int, tokens: int, kinds: int,
+                 class_tokens: np.ndarray, class_kinds: np.ndarray):
         rank = np.full(len(words), -1)
-        rank[:frequent] = np.arange(min(frequent, len(words)))
+        rank[:own] = np.arange(own)
         order = np.argsort(words)
         self.words, self.counts, self.rank = words[order], counts[order], rank[order]
-        self.frequent = frequent
+        self.own, self.shared = own, len(class_tokens)
         self.floor = np.log10(tokens + ADD * (kinds + 1))
         self.class_floor = np.log10(class_tokens + ADD * (class_kinds + 1))
 
     def read(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Class of each word, and its count (-1: not among those held)."""
-        classes = self.frequent + (hashes % U(SHARED_CLASSES)).astype(np.int64)
+        classes = self.own + (hashes % U(self.shared)).astype(np.int64)
         counts = np.full(len(hashes), -1)
-        if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-            same = self.words[at] == hashes
-            counts[same] = self.counts[at[same]]
-            own = same & (self.rank[at] >= 0)
-            classes[own] = self.rank[at[own]]
-        classes[hashes == END] = self.frequent + SHARED_CLASSES
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        same = self.words[at] == hashes
+        counts[same] = self.counts[at[same]]
+        own = same & (self.rank[at] >= 0)
+        classes[own] = self.rank[at[own]]
         return classes, counts
 
 
@@ -100,7 +98,7 @@ READ = ("rid bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known b
 def read_texts(found: Iterator[pa.RecordBatch], lexicon: Shared) -> Iterator[pa.RecordBatch]:
     """Symbols of each text, the parts of its scores that need no other counts, and its rare words."""
     lex: Lexicon = lexicon.value
-    for batch in batches(found, "body"):
+    for batch in batches(found, "body", BATCH):
         words = Words(Texts(batch.column("body"), lower=True), NOT_SPACE)
         n = words.count + 1
         first = np.concatenate([[0], np.cumsum(n)])
@@ -110,24 +108,68 @@ def read_texts(found: Iterator[pa.RecordBatch], lexicon: Shared) -> Iterator[pa.
         hashes[inside] = words.hashes()
         classes, counts = lex.read(hashes)
         held = counts >= 0
-        own = (classes < lex.frequent) | (classes == lex.frequent + SHARED_CLASSES)
+        own = classes < lex.own
         gain = np.where(held, np.log10(counts + ADD, where=held, out=np.zeros(len(counts))), 0.0)
         # a word of a shared class has its share of the class; that of an own class is certain
-        floor = np.where(own, 0.0, lex.class_floor[np.where(own, 0, classes - lex.frequent)])
+        floor = np.where(own, 0.0, lex.class_floor[np.where(own, 0, classes - lex.own)])
         within = np.where(own, 0.0, gain - floor)
-        symbols, rare = [], []
-        for i in range(batch.num_rows):
-            part = slice(first[i], first[i + 1])
-            symbols.append(classes[part].astype(np.uint16).tobytes())
-            word, times = runs(hashes[part][~held[part]])
-            rare.append([{"word": w, "n": t} for w, t in zip(word.view(np.int64).tolist(), times.tolist())])
+        offsets = pa.py_buffer((first * 4).astype("<i4"))
+        symbols = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, offsets, pa.py_buffer(classes.astype("<u4"))])
+        # rare words, each once a text
+        text = np.repeat(np.arange(len(n)), n)[~held]
+        word = hashes[~held].view(np.int64)
+        order = np.lexsort((word, text))
+        text, word = text[order], word[order]
+        begin = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (word[1:] != word[:-1])])) if len(word) else np.zeros(0, int)
+        times = np.diff(np.append(begin, len(word)))
+        pairs = pa.StructArray.from_arrays([pa.array(word[begin]), pa.array(times.astype(np.int64))], ["word", "n"])
+        rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(text[begin], np.arange(len(n) + 1)).astype(np.int32)), pairs)
         add = lambda x: np.add.reduceat(x, first[:-1]) if len(n) else x
         yield pa.RecordBatch.from_arrays(
             [batch.column("rid"), batch.column("doc_id"), batch.column("held_out"), pa.array(n.astype(np.int64)),
              pa.array(add((counts > 0).astype(np.int64))), pa.array(add(gain - lex.floor)), pa.array(add(within)),
-             pa.array(symbols, pa.binary()),
-             pa.array(rare, pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64())])))],
-            names=[x.split()[0] for x in READ.split(", ")[:8]] + ["rare"])
+             symbols, rare], names=[x.split()[0] for x in READ.split(", ")[:8]] + ["rare"])
+
+
+class Blocks:
+    """Texts in blocks of at most ``BLOCK`` symbols, the long ones first."""
+
+    def __init__(self, texts: list[np.ndarray]):
+        lengths = np.array([len(x) for x in texts], int)
+        begin = np.concatenate([[0], np.cumsum(lengths)])
+        self.symbols = np.concatenate([*texts, np.zeros(0, "<u4")])
+        count = -(-lengths // BLOCK)
+        text = np.repeat(np.arange(len(texts)), count)
+        at = (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * BLOCK
+        size = np.minimum(lengths[text] - at, BLOCK)
+        order = np.argsort(-size, kind="stable")
+        self.text, self.at, self.size = text[order], at[order], size[order]
+        self.start, self.first = begin[self.text] + self.at, self.at == 0
+
+    def groups(self) -> Iterator[np.ndarray]:
+        """Blocks of like size together, so that tables by place and block are hardly padded."""
+        done = 0
+        while done < len(self.size):
+            end = int(np.searchsorted(-self.size, -(self.size[done] // 2), side="right")) if self.size[done] > 1 else len(self.size)
+            yield np.arange(done, max(end, done + 1))
+            done = max(end, done + 1)
+
+    def steps(self, which: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """For each place: it, how many of these blocks reach it, and their symbols."""
+        size, start = self.size[which], self.start[which]
+        live = len(which)
+        for t in range(int(size.max(initial=0))):
+            while size[live - 1] <= t:
+                live -= 1
+            yield t, live, self.symbols[start[:live] + t]
+
+    def chains(self) -> list[list[int]]:
+        """The blocks of each text that has several, in order."""
+        count = np.bincount(self.text) if len(self.text) else np.zeros(0, int)
+        many = np.flatnonzero(count[self.text] > 1) if len(count) else np.zeros(0, int)
+        many = many[np.lexsort((self.at[many], self.text[many]))]
+        cuts = np.flatnonzero(np.diff(self.text[many])) + 1
+        return [x.tolist() for x in np.split(many, cuts)] if len(many) else []
 
 
 class Chain:
@@ -144,120 +186,110 @@ class Chain:
         np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
         return cls(np.full(states, 1 / states), move, emit / emit.sum(axis=0))
 
-    def advance(self, alpha: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row-wise forward over the columns of ``symbols``; scaled result and the log of the scale."""
-        scale = np.zeros(len(alpha))
-        for t in range(symbols.shape[1]):
-            alpha = (alpha @ self.move) * self.emit[symbols[:, t]]
-            total = alpha.sum(axis=1)
-            alpha /= total[:, None]
-            scale += np.log(total)
-        return alpha, scale
+    @classmethod
+    def estimated(cls, flat: np.ndarray, shares: np.ndarray, states: int) -> Chain:
+        """From expected starts, moves and emissions, smoothed by one start and move each and 20 tokens of the shares."""
+        start = flat[:states] + 1
+        move = flat[states : states + states * states].reshape(states, states) + 1
+        emit = flat[states + states * states :].reshape(-1, states) + 20 * shares[:, None]
+        return cls(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+
+    def transfers(self, blocks: Blocks, which: np.ndarray) -> np.ndarray:
+        """Transfer matrix of each of these blocks up to a factor: from the state before it to the last one, or,
+        where a text begins, from the first state."""
+        out = np.repeat(np.eye(len(self.start))[None], len(which), axis=0)
+        logs = np.zeros(out.shape[:2])
+        begins = blocks.first[which][:, None, None]
+        for t, live, symbols in blocks.steps(which):
+            now = (out[:live] @ self.move if t else np.where(begins, out, out @ self.move)[:live]) * self.emit[symbols][:, None]
+            total = now.sum(axis=2)
+            out[:live] = now / total[:, :, None]
+            logs[:live] += np.log(total)
+        return out * np.exp(logs - logs.max(axis=1, keepdims=True))[:, :, None]
+
+    def edges(self, blocks: Blocks) -> tuple[np.ndarray, np.ndarray]:
+        """For each block the forward vector before it (where a text begins, unused) and the backward vector at its end."""
+        k, n = len(self.start), len(blocks.text)
+        entry, exit_ = np.full((n, k), 1 / k), np.ones((n, k))
+        chains = blocks.chains()
+        which = np.array(sorted(i for chain in chains for i in chain), int)  # long ones first
+        place = {i: j for j, i in enumerate(which.tolist())}
+        matrices = self.transfers(blocks, which) if len(which) else None
+        for chain in chains:
+            held = self.start
+            for before, i in zip(chain, chain[1:]):
+                held = held @ matrices[place[before]]
+                entry[i] = held = held / held.sum()
+            held = np.ones(k)
+            for before, i in zip(chain[-2::-1], chain[:0:-1]):
+                held = matrices[place[i]] @ held
+                exit_[before] = held = held / held.sum()
+        return entry, exit_
+
+    def forward(self, blocks: Blocks, which: np.ndarray, entry: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scaled forward vectors of all places and their scales (with ``keep``), and sums of the logs of the scales."""
+        (n, k), width = entry.shape, int(blocks.size[which].max(initial=0)) if keep else 0
+        alpha, scales, logs = np.zeros((width, n, k)), np.ones((width, n)), np.zeros(n)
+        now = np.where(blocks.first[which][:, None], self.start, entry @ self.move)
+        for t, live, symbols in blocks.steps(which):
+            now = (now[:live] @ self.move if t else now[:live]) * self.emit[symbols]
+            total = now.sum(axis=1)
+            now /= total[:, None]
+            logs[:live] += np.log(total)
+            if keep:
+                alpha[t, :live], scales[t, :live] = now, total
+        return alpha, scales, logs
 
     def log_likelihoods(self, texts: list[np.ndarray]) -> np.ndarray:
         """Natural log-probability of each whole sequence."""
-        out = np.zeros(len(texts))
-        order = sorted(range(len(texts)), key=lambda i: -min(len(texts[i]), BLOCK))
-        heads = [texts[i][:BLOCK] for i in order]
-        sizes = np.array([len(x) for x in heads])
-        grid = np.zeros((len(heads), sizes.max(initial=0)), np.uint16)
-        for i, x in enumerate(heads):
-            grid[i, : len(x)] = x
-        alpha = np.repeat(self.start[None], len(heads), axis=0)
-        live = len(heads)
-        scale = np.zeros(live)
-        for t in range(grid.shape[1]):
-            while live and sizes[live - 1] <= t:
-                live -= 1
-            now = (alpha[:live] @ self.move if t else alpha[:live]) * self.emit[grid[:live, t]]
-            total = now.sum(axis=1)
-            alpha[:live] = now / total[:, None]
-            scale[:live] += np.log(total)
-        for place, i in enumerate(order):
-            out[i] = scale[place]
-            if len(texts[i]) > BLOCK:
-                out[i] += self.rest(alpha[place], texts[i][BLOCK:])
+        blocks, out = Blocks(texts), np.zeros(len(texts))
+        entry, _ = self.edges(blocks)
+        for which in blocks.groups():
+            _, _, logs = self.forward(blocks, which, entry[which], False)
+            np.add.at(out, blocks.text[which], logs)
         return out
 
-    def rest(self, alpha: np.ndarray, symbols: np.ndarray) -> float:
-        """Goes on from ``alpha`` over a long rest: blocks side by side, then one after the other."""
-        k, whole, total = len(alpha), len(symbols) // BLOCK, 0.0
-        for at in range(0, whole, 64):
-            blocks = symbols[at * BLOCK : min(whole, at + 64) * BLOCK].reshape(-1, BLOCK)
-            basis = np.tile(np.eye(k), (len(blocks), 1))
-            moved, scale = self.advance(basis, np.repeat(blocks, k, axis=0))
-            for matrix, logs in zip(moved.reshape(-1, k, k), scale.reshape(-1, k)):
-                top = logs.max()
-                alpha = (alpha * np.exp(logs - top)) @ matrix
-                total += top + np.log(alpha.sum())
-                alpha /= alpha.sum()
-        tail = symbols[whole * BLOCK :]
-        if len(tail):
-            total += self.advance(alpha[None], tail[None])[1][0]
-        return total
-
-    def expected(self, segments: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected starts, moves and emissions of padded segments, all of at least one symbol."""
-        n, width = segments.shape
-        k = len(self.start)
-        live = np.arange(width)[None] < sizes[:, None]
-        alpha, totals = np.zeros((width, n, k)), np.ones((width, n))
-        now = np.repeat(self.start[None], n, axis=0)
-        for t in range(width):
-            new = (now @ self.move if t else now) * self.emit[segments[:, t]]
-            total = new.sum(axis=1)
-            on = live[:, t]
-            now = np.where(on[:, None], new / total[:, None], now)
-            totals[t] = np.where(on, total, 1.0)
-            alpha[t] = now
-        moves = np.zeros((k, k))
-        beta = np.ones((n, k))
-        gamma = np.zeros((width, n, k))
-        for t in range(width - 1, -1, -1):
-            on = live[:, t]
-            gamma[t] = np.where(on[:, None], alpha[t] * beta, 0.0)
-            if t:
-                ahead = np.where(on[:, None], self.emit[segments[:, t]] * beta / totals[t][:, None], 0.0)
-                moves += alpha[t - 1].T @ ahead
-                beta = np.where(on[:, None], ahead @ self.move.T, beta)
-        flat = segments.T.ravel()
-        emitted = np.stack([np.bincount(flat, gamma[:, :, s].ravel(), len(self.emit)) for s in range(k)], axis=1)
-        return gamma[0].sum(axis=0), moves * self.move, emitted
-
-
-def segments_of(texts: Iterator[np.ndarray], rows: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    held: list[np.ndarray] = []
-
-    def grid() -> tuple[np.ndarray, np.ndarray]:
-        out = np.zeros((len(held), SEGMENT), np.uint16)
-        for i, x in enumerate(held):
-            out[i, : len(x)] = x
-        return out, np.array([len(x) for x in held])
-
-    for text in texts:
-        for at in range(0, len(text), SEGMENT):
-            held.append(text[at : at + SEGMENT])
-            if len(held) == rows:
-                yield grid()
-                held.clear()
-    if held:
-        yield grid()
+    def expected(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected starts, moves and emissions of whole texts, all of at least one symbol."""
+        blocks, k = Blocks(texts), len(self.start)
+        starts, moves, emitted = np.zeros(k), np.zeros((k, k)), np.zeros(len(self.emit) * k)
+        entries, exits = self.edges(blocks)
+        for which in blocks.groups():
+            entry, first, size = entries[which], blocks.first[which], blocks.size[which]
+            alpha, scales, _ = self.forward(blocks, which, entry, True)
+            beta = exits[which]
+            beta = beta / (alpha[size - 1, np.arange(len(which))] * beta).sum(axis=1, keepdims=True)
+            for t, live, symbols in reversed(list(blocks.steps(which))):
+                ahead = self.emit[symbols] * beta[:live] / scales[t, :live, None]
+                alpha[t, :live] *= beta[:live]  # from here on the probability of each state
+                if t:
+                    moves += alpha[t - 1, :live].T @ ahead
+                    beta[:live] = ahead @ self.move.T
+                else:
+                    moves += entry.T @ (ahead * ~first[:, None])
+            starts += alpha[0, first].sum(axis=0)
+            real = np.arange(len(alpha))[:, None] < size[None]
+            cells = blocks.symbols[(blocks.start[which][None] + np.arange(len(alpha))[:, None])[real]].astype(np.int64)
+            emitted += np.bincount((cells[:, None] * k + np.arange(k)).ravel(), alpha[real].ravel(), len(emitted))
+        return starts, moves * self.move, emitted.reshape(-1, k)
 
 
 def sequences(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint16) for x in column.to_pylist()]
+    return [np.frombuffer(x, "<u4") for x in column.to_pylist()]
 
 
 def expectations(found: Iterator[pa.RecordBatch], chain: Shared) -> Iterator[pa.RecordBatch]:
     own: Chain = chain.value
-    total = [np.zeros_like(own.start), np.zeros_like(own.move), np.zeros_like(own.emit)]
-    texts = (x for batch in found for part in slices(batch.column("symbols"), 8 << 20) for x in sequences(part))
-    for grid, sizes in segments_of(texts):
-        for a, b in zip(total, own.expected(grid, sizes)):
-            a += b
+    total = [np.zeros_like(own.start), np.zeros_like(own.move), np.zeros(own.emit.shape)]
+    for batch in found:
+        for part in slices(batch.column("symbols"), BATCH // 2):
+            for a, b in zip(total, own.expected(sequences(part))):
+                a += b
     flat = np.concatenate([x.ravel() for x in total])
     some = np.flatnonzero(flat)
-    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(flat[some])], names=["cell", "value"])
+    for at in range(0, len(some), 1 << 16):
+        cells = some[at : at + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(flat[cells])], names=["cell", "value"])
 
 
 def baum_welch(texts: DataFrame, shares: np.ndarray, states: int, rounds: int, seed: int) -> Chain:
@@ -265,34 +297,34 @@ def baum_welch(texts: DataFrame, shares: np.ndarray, states: int, rounds: int, s
     for _ in range(rounds):
         shared = Shared(texts.sparkSession, chain)
         cells = texts.select("symbols").mapInArrow(lambda found, s=shared: expectations(found, s), "cell int, value double")
-        sums = cells.groupBy("cell").agg(F.sum("value").alias("value")).toPandas()
+        sums = cells.groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
         flat = np.zeros(states + states * states + len(shares) * states)
-        flat[sums["cell"].to_numpy(dtype=np.int64)] = sums["value"].to_numpy()
-        start = flat[:states] + 1
-        move = flat[states : states + states * states].reshape(states, states) + 1
-        emit = flat[states + states * states :].reshape(-1, states) + 20 * shares[:, None]
-        chain = Chain(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+        flat[sums.column("cell").to_numpy()] = sums.column("value").to_numpy()
+        chain = Chain.estimated(flat, shares, states)
     return chain
 
 
 def likelihood(chain: Shared):
     @F.arrow_udf(DoubleType())
     def score(column: pa.Array) -> pa.Array:
-        parts = [chain.value.log_likelihoods(sequences(part)) for part in slices(column, 4 << 20)]
+        parts = [chain.value.log_likelihoods(sequences(part)) for part in slices(column, BATCH)]
         return pa.array(np.concatenate([*parts, np.zeros(0)]) / np.log(10))
 
     return score
 
 
-def score_texts(docs: DataFrame, states: int = STATES, rounds: int = 5, frequent: int = FREQUENT, seed: int = 5,
+def score_texts(docs: DataFrame, states: int = STATES, rounds: int = 5, share: float = SHARE, seed: int = 5,
                 held_mod: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row.
 
-    Scores are log10 probabilities of the whole text.  A null or empty text is its end mark alone.
-    Training rows are those whose id has a checksum other than 0 modulo ``held_mod``; without any,
-    all counts are 0.  Repeated rows count as often as they occur; other columns are ignored.  Words
-    are told apart by 64-bit hashes.
+    Scores are log10 probabilities of the whole text, of any length.  A null or empty text is its end mark
+    alone.  Training rows are those whose id has a checksum other than 0 modulo ``held_mod``; without any,
+    all counts are 0.  Repeated rows count as often as they occur; other columns are ignored; an empty
+    table gives no row.  Of words equally frequent the smaller hash comes first, which decides nothing but
+    numbers of classes.  Words are told apart by 64-bit hashes.
     """
+    if share < 1 / LOOKUP:
+        raise ValueError(f"share must be at least 1/{LOOKUP}, as every word with a class of its own is held by tasks")
     key = F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(
         F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("body"),
@@ -300,31 +332,29 @@ def score_texts(docs: DataFrame, states: int = STATES, rounds: int = 5, frequent
     counts = rows.filter("NOT held_out").select("body").mapInArrow(count_words, "word bigint, n bigint")
     counts = stage(counts.groupBy("word").agg(F.sum("n").alias("c")), "hmm-counts")
     tokens, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(LOOKUP).toPandas()
-    words, held = top["word"].to_numpy(dtype=np.int64).view(U), top["c"].to_numpy(dtype=np.int64)
-    ends = int(held[words == END].sum())
-    words, held = words[words != END], held[words != END]
-    # shared classes hold what is neither frequent nor the end mark
-    class_of = F.expr(f"pmod(word, {SHARED_CLASSES})")
-    sizes = counts.groupBy(class_of.alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).toPandas()
-    class_tokens, class_kinds = np.zeros(SHARED_CLASSES), np.zeros(SHARED_CLASSES)
-    class_tokens[sizes["k"].to_numpy(dtype=np.int64)] = sizes["c"].to_numpy()
-    class_kinds[sizes["k"].to_numpy(dtype=np.int64)] = sizes["n"].to_numpy()
-    for word, c in zip([*words[:frequent].tolist(), int(END)], [*held[:frequent].tolist(), ends]):
-        class_tokens[word % SHARED_CLASSES] -= c
-        class_kinds[word % SHARED_CLASSES] -= c > 0
-    lexicon = Lexicon(np.append(words, END), np.append(held, ends), tokens, kinds, class_tokens, class_kinds, frequent)
-    lexicon.rank[lexicon.words == END] = -1
+    top = counts.orderBy(F.desc("c"), "word").limit(LOOKUP).toArrow()
+    words, held = top.column("word").to_numpy().view(U), top.column("c").to_numpy()
+    if not len(words):  # the end mark always has a place
+        words, held = np.array([END]), np.zeros(1, np.int64)
+    own = max(1, int((held >= share * tokens).sum()))
+    rest = int(tokens - held[:own].sum())
+    buckets = 1 << max(4, int(rest / max(1.0, share * tokens)).bit_length())
+    # what is left of each shared class without the words that have their own
+    sizes = counts.groupBy(F.expr(f"word & {buckets - 1}L").alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).toArrow()
+    class_tokens, class_kinds = np.zeros(buckets), np.zeros(buckets)
+    at = sizes.column("k").to_numpy()
+    class_tokens[at], class_kinds[at] = sizes.column("c").to_numpy(), sizes.column("n").to_numpy()
+    taken = (words[:own] & U(buckets - 1)).astype(np.int64)
+    np.subtract.at(class_tokens, taken, held[:own])
+    np.subtract.at(class_kinds, taken, (held[:own] > 0).astype(float))
+    lexicon = Lexicon(words, held, own, tokens, kinds, class_tokens, class_kinds)
 
     shared = Shared(docs.sparkSession, lexicon)
     read = rows.withColumn("rid", F.monotonically_increasing_id()).select("rid", "doc_id", "held_out", "body")
     read = stage(read.mapInArrow(lambda found: read_texts(found, shared), READ), "hmm-read")
 
-    shares = np.zeros(frequent + SHARED_CLASSES + 1)
-    shares[: min(frequent, len(held))] = held[:frequent]
-    shares[frequent:-1], shares[-1] = class_tokens, ends
-    shares = (shares + ADD) / (shares + ADD).sum()
-    chain = baum_welch(read.filter("NOT held_out"), shares, states, rounds, seed)
+    shares = np.concatenate([held[:own], class_tokens]) + ADD
+    chain = baum_welch(read.filter("NOT held_out"), shares / shares.sum(), states, rounds, seed)
 
     rare = read.select("rid", F.explode("rare").alias("r")).select("rid", "r.word", "r.n")
     rare = rare.join(counts, "word", "left").select(
