@@ -5,15 +5,18 @@ eight longs; the full minima only serve to form band keys and are not kept.  Nod
 key are candidates, the share of equal low bits, corrected for chance agreement, rejects most of the
 wrong ones, and the rest are confirmed on whole shingle sets.
 
-No group is ever written out as pairs.  In each bucket all nodes are first compared with one centre,
-chosen by a different order in every band; this links groups of any size by a number of pairs that is
-linear in their members.  Buckets that still hold several components are then searched once more, only
-between nodes of different components and never inside the largest one.  There the low bits of 4096
-minima are compared inside the join, so that hardly more than the similar pairs come out of it.  So
-each pair that shares a band key is either connected already or tested.
+No group is ever written out as pairs.  In each bucket all nodes are first compared with ``CENTRES`` nodes of
+it, those that come first by a few orders of all nodes; as the orders are the same in every bucket, a group
+of any size is linked by a few pairs a member.  Nodes of buckets that still hold several components are
+then searched once more by their rarest shingles: two sets as similar as asked share one of the first
+``|x| - ceil(threshold * |x|) + 1`` shingles of each in any order common to all, here from rare to frequent, so
+documents that only share a template, a passage or a boilerplate do not meet there.  Only nodes of different
+components are compared, and never two of the largest one of a shingle.  So each pair that shares a band key
+is either connected already or tested.  How frequent a shingle is follows from counts in a table of
+``CELLS`` cells; these only choose the order, any order finds all pairs.
 
 A pair at the threshold shares none of the 32 bands of 4 minima with probability 5e-6, and the
-estimates are accepted from five standard deviations below the threshold: 0.2, or 0.055 with 4096.
+estimates are accepted from five standard deviations below the threshold: 0.2.
 """
 
 from __future__ import annotations
@@ -26,18 +29,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.words import NOT_SPACE, Texts, U, Words, batches, distinct, mix
+from palimpsest.llm.words import NOT_SPACE, Shared, Texts, U, Words, batches, distinct, mix
 from palimpsest.scratch import stage
 
 MINIMA, ROWS, BITS = 128, 4, 4
 BANDS, LANES = MINIMA // ROWS, 64 // BITS
 SLACK = 0.2
-WIDE, WIDE_SLACK = 4096, 0.055
+CENTRES = 3
+CELLS = 1 << 20
+BATCH = 2 << 20  # bytes of text in a task at once
 _seeds = np.random.default_rng(20240607)
 MULTIPLY = (_seeds.integers(0, 2**32, MINIMA, dtype=np.uint64) | U(1)).astype(np.uint32)
 ADD = _seeds.integers(0, 2**32, MINIMA, dtype=np.uint64).astype(np.uint32)
-WIDE_MULTIPLY = (_seeds.integers(0, 2**32, WIDE, dtype=np.uint64) | U(1)).astype(np.uint32)
-WIDE_ADD = _seeds.integers(0, 2**32, WIDE, dtype=np.uint64).astype(np.uint32)
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[tuple[np.ndarray, bytes]]:
@@ -84,7 +87,7 @@ DIGEST = "rid bigint, doc_id bigint, sequence binary, n_shingles bigint, signatu
 
 
 def digests(found: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches(found, "body"):
+    for batch in batches(found, "body", BATCH):
         counts, keys, signatures, bands = [], [], [], []
         for shingles, key in shingle_sets(batch.column("body"), size):
             counts.append(len(shingles))
@@ -101,7 +104,7 @@ def digests(found: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
 
 
 def sets_of(found: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches(found, "body"):
+    for batch in batches(found, "body", BATCH):
         pairs = list(shingle_sets(batch.column("body"), size))
         yield pa.RecordBatch.from_arrays(
             [pa.array([key for _, key in pairs], pa.binary()),
@@ -110,17 +113,40 @@ def sets_of(found: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
         )
 
 
-def sketches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lowest bit of each of ``WIDE`` minima."""
+def flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    offsets = column.offsets.to_numpy()
+    return column.values.to_numpy()[offsets[0] : offsets[-1]].view(U), offsets - offsets[0]
+
+
+def cells(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many sets of a task hold a shingle of each cell."""
+    total = np.zeros(CELLS, np.int64)
+    for batch in found:
+        values, _ = flat(batch.column("shingles"))
+        total += np.bincount((values % U(CELLS)).astype(np.int64), minlength=CELLS)
+    some = np.flatnonzero(total)
+    for at in range(0, len(some), 1 << 16):
+        part = some[at : at + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["cell", "n"])
+
+
+def prefixes(found: Iterator[pa.RecordBatch], counts: Shared, percent: int) -> Iterator[pa.RecordBatch]:
+    """The shingles of which each pair of similar sets shares one, with the size of the set."""
+    often = counts.value
     for batch in found:
-        rows = []
-        for part in batch.column("shingles"):
-            half = (part.values.to_numpy().view(U) >> U(32)).astype(np.uint32)
-            low = np.full(WIDE, 0xFFFFFFFF, np.uint32)
-            for at in range(0, len(half), 64):
-                np.minimum(low, (half[None, at : at + 64] * WIDE_MULTIPLY[:, None] + WIDE_ADD[:, None]).min(axis=1), out=low)
-            rows.append(np.packbits((mix(low.astype(U)) & U(1)).astype(bool)).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(rows, pa.list_(pa.int64()))], names=["node", "sketch"])
+        values, offsets = flat(batch.column("shingles"))
+        nodes, tokens, sizes = [], [], []
+        for node, a, b in zip(batch.column("node").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+            own = values[a:b]
+            first = len(own) - -(-percent * len(own) // 100) + 1
+            order = np.lexsort((own, often[(own % U(CELLS)).astype(np.int64)]))[:first]
+            tokens.append(own[order])
+            nodes.append(np.full(len(order), node))
+            sizes.append(np.full(len(order), len(own)))
+        none = [np.zeros(0, np.int64)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([*tokens, np.zeros(0, U)]).view(np.int64)), pa.array(np.concatenate(nodes + none)),
+             pa.array(np.concatenate(sizes + none))], names=["token", "node", "size"])
 
 
 def estimate(a: str, b: str) -> str:
@@ -215,49 +241,47 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, doc_id: s
     same = rows.join(same, "doc_id").filter("node <> a").select("a", F.col("node").alias("b"))
 
     entries = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    orders = [F.xxhash64("node", F.lit(i)) for i in range(CENTRES)]
     buckets = entries.groupBy("band", "key").agg(
-        F.min_by("node", F.xxhash64("node", "band")).alias("centre"), F.count("*").alias("held"),
+        F.count("*").alias("held"), *[F.min_by("node", order).alias(f"centre{i}") for i, order in enumerate(orders)],
     ).filter("held > 1")
-    crowded = stage(entries.join(buckets, ["band", "key"]).select("band", "key", "node", "centre"),
-                    "minhash-crowded")
+    crowded = stage(entries.join(buckets, ["band", "key"]), "minhash-crowded")
     signed = nodes.select("node", "signature")
     first = signed.select(F.col("node").alias("a"), F.col("signature").alias("one"))
     second = signed.select(F.col("node").alias("b"), F.col("signature").alias("two"))
     likely = f"{estimate('one', 'two')} >= {percent / 100 - SLACK}D"
 
-    stars = crowded.filter("node <> centre").select(
+    pairs = crowded.select("node", F.explode(F.array(*[f"centre{i}" for i in range(CENTRES)])).alias("centre"))
+    stars = pairs.filter("node <> centre").select(
         F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     stars = stage(stars.join(first, "a").join(second, "b").filter(likely).select("a", "b"), "minhash-stars")
-    sets = shingles_of(stars.select(F.explode(F.array("a", "b")).alias("node")), texts, nodes, size)
+    sets = shingles_of(crowded, texts, nodes, size)
     links = stage(confirmed(stars, sets, percent).union(same), "minhash-links")
     roots = components(links)
 
     members = crowded.select("band", "key", "node").join(roots, "node", "left").withColumn(
         "root", F.coalesce("root", "node"))
-    members = stage(members, "minhash-members")
-    parts = members.groupBy("band", "key", "root").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("band", "key").agg(
-        F.max_by("root", F.col("n")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    open_ = stage(members.join(mixed.select("band", "key", "main"), ["band", "key"]), "minhash-open")
-    sets = shingles_of(open_, texts, nodes, size)
-    drawn = sets.mapInArrow(sketches, "node bigint, sketch array<bigint>")
-    # one column a word, never null, keeps the comparison in the join short
-    drawn = drawn.select("node", *[F.coalesce(F.col("sketch")[i], F.lit(0)).alias(f"s{i}") for i in range(WIDE // 64)])
-    # and the upper halves of the band keys: a pair is only compared in the first band that it shares
-    banded = nodes.select("node", *[F.coalesce(F.expr(f"cast(bands[{i}] >> 32 AS int)"), F.lit(0)).alias(f"k{i}")
-                                    for i in range(BANDS - 1)])
-    open_ = open_.join(drawn.join(banded, "node"), "node")
-    outer = open_.filter("root <> main").select(
-        "band", "key", F.col("node").alias("x"), F.col("root").alias("x_root"),
-        *[F.col(f"s{i}").alias(f"x{i}") for i in range(WIDE // 64)],
-        *[F.col(f"k{i}").alias(f"y{i}") for i in range(BANDS - 1)])
-    differ = " + ".join(f"bit_count(x{i} ^ s{i})" for i in range(WIDE // 64))
-    earlier = " OR ".join(f"(band > {i} AND y{i} = k{i})" for i in range(BANDS - 1))
-    most = int((1 - percent / 100 + WIDE_SLACK) / 2 * WIDE)
-    cross = outer.join(open_, ["band", "key"]).filter(
-        f"x_root <> root AND (root = main OR x < node) AND {differ} <= {most} AND NOT ({earlier})")
-    cross = stage(cross.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct(),
-                  "minhash-cross")
+    mixed = members.groupBy("band", "key").agg(F.min("root").alias("least"), F.max("root").alias("most"))
+    mixed = mixed.filter("least <> most").select("band", "key")
+    open_ = stage(members.join(mixed, ["band", "key"]).select("node", "root").distinct(), "minhash-open")
+    sets_open = sets.join(open_.select("node"), "node")
+    counts = np.zeros(CELLS, np.int64)
+    seen = sets_open.select("shingles").mapInArrow(cells, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts[seen.column("cell").to_numpy()] = seen.column("n").to_numpy()
+    shared = Shared(docs.sparkSession, counts)
+    tokens = sets_open.select("node", "shingles").mapInArrow(
+        lambda found: prefixes(found, shared, percent), "token bigint, node bigint, size bigint")
+    tokens = stage(tokens.join(open_, "node"), "minhash-tokens")
+    parts = tokens.groupBy("token", "root").agg(F.count("*").alias("n"))
+    met = parts.groupBy("token").agg(
+        F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
+    tokens = stage(tokens.join(met.select("token", "main"), "token"), "minhash-met")
+    outer = tokens.filter("root <> main").select(
+        "token", F.col("node").alias("x"), F.col("root").alias("x_root"), F.col("size").alias("x_size"))
+    cross = outer.join(tokens, "token").filter(
+        f"x_root <> root AND (root = main OR x < node) AND 100 * least(x_size, size) >= {percent} * greatest(x_size, size)")
+    cross = cross.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    cross = stage(cross.join(first, "a").join(second, "b").filter(likely).select("a", "b"), "minhash-cross")
     more = stage(confirmed(cross, sets, percent), "minhash-more")
     if not more.isEmpty():
         roots = components(links.union(more))
