@@ -26,9 +26,11 @@ from palimpsest.llm.words import NOT_SPACE, Shared, Texts, U, Words, batches, sl
 from palimpsest.scratch import stage
 
 STATES = 8
-SHARE = 2.0**-18  # of the training tokens: from here on a word is a class of its own
+SHARE = 2.0**-16  # of the training tokens: from here on a word is a class of its own
 LOOKUP = 1 << 18  # most frequent words whose counts every task holds: 4 MB
 BLOCK = 1024  # tokens of a text worked on in one go
+REST = 4  # places between two scalings; a place costs a factor of some 1e-7 at worst
+SYMBOLS = 4 << 20  # bytes of symbols in a task at once
 BATCH = 2 << 20  # bytes of text in a task at once
 END = U(1)  # hash of the end mark
 ADD = 0.1
@@ -177,6 +179,12 @@ class Chain:
 
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
         self.start, self.move, self.emit = start, move, emit
+        self.peak = emit.max(axis=1)
+        self.relative = emit / self.peak[:, None]  # so that vectors shrink little from place to place
+
+    def single(self) -> Chain:
+        """In single precision: enough for expected counts, not for scores."""
+        return Chain(*(x.astype(np.float32) for x in (self.start, self.move, self.emit)))
 
     @classmethod
     def initial(cls, shares: np.ndarray, states: int, seed: int) -> Chain:
@@ -197,20 +205,26 @@ class Chain:
     def transfers(self, blocks: Blocks, which: np.ndarray) -> np.ndarray:
         """Transfer matrix of each of these blocks up to a factor: from the state before it to the last one, or,
         where a text begins, from the first state."""
-        out = np.repeat(np.eye(len(self.start))[None], len(which), axis=0)
+        k = len(self.start)
+        out = np.repeat(np.eye(k, dtype=self.emit.dtype)[None], len(which), axis=0)
         logs = np.zeros(out.shape[:2])
         begins = blocks.first[which][:, None, None]
         for t, live, symbols in blocks.steps(which):
-            now = (out[:live] @ self.move if t else np.where(begins, out, out @ self.move)[:live]) * self.emit[symbols][:, None]
-            total = now.sum(axis=2)
-            out[:live] = now / total[:, :, None]
-            logs[:live] += np.log(total)
+            now = (out[:live].reshape(-1, k) @ self.move).reshape(-1, k, k)
+            if t == 0:
+                now = np.where(begins, out, now)
+            now *= self.relative[symbols][:, None]
+            if t % REST == 0:
+                total = now.sum(axis=2)
+                now /= total[:, :, None]
+                logs[:live] += np.log(total)
+            out[:live] = now
         return out * np.exp(logs - logs.max(axis=1, keepdims=True))[:, :, None]
 
     def edges(self, blocks: Blocks) -> tuple[np.ndarray, np.ndarray]:
         """For each block the forward vector before it (where a text begins, unused) and the backward vector at its end."""
         k, n = len(self.start), len(blocks.text)
-        entry, exit_ = np.full((n, k), 1 / k), np.ones((n, k))
+        entry, exit_ = np.full((n, k), 1 / k, self.emit.dtype), np.ones((n, k), self.emit.dtype)
         chains = blocks.chains()
         which = np.array(sorted(i for chain in chains for i in chain), int)  # long ones first
         place = {i: j for j, i in enumerate(which.tolist())}
@@ -226,41 +240,52 @@ class Chain:
                 exit_[before] = held = held / held.sum()
         return entry, exit_
 
-    def forward(self, blocks: Blocks, which: np.ndarray, entry: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Scaled forward vectors of all places and their scales (with ``keep``), and sums of the logs of the scales."""
+    def forward(self, blocks: Blocks, which: np.ndarray, entry: np.ndarray, keep: bool) -> tuple[np.ndarray, ...]:
+        """Forward vectors of all places and their scales (with ``keep``), those of the last places, and logs of their sums.
+
+        Vectors are scaled at every ``REST``-th place; the highest emission of each symbol is left out of all.
+        """
         (n, k), width = entry.shape, int(blocks.size[which].max(initial=0)) if keep else 0
-        alpha, scales, logs = np.zeros((width, n, k)), np.ones((width, n)), np.zeros(n)
+        alpha, scales, logs = np.zeros((width, n, k), self.emit.dtype), np.ones((width, n), self.emit.dtype), np.zeros(n)
         now = np.where(blocks.first[which][:, None], self.start, entry @ self.move)
         for t, live, symbols in blocks.steps(which):
-            now = (now[:live] @ self.move if t else now[:live]) * self.emit[symbols]
-            total = now.sum(axis=1)
-            now /= total[:, None]
-            logs[:live] += np.log(total)
+            new = (now[:live] @ self.move if t else now[:live]) * self.relative[symbols]
+            if t % REST == 0:
+                total = new.sum(axis=1)
+                new /= total[:, None]
+                logs[:live] += np.log(total)
+                if keep:
+                    scales[t, :live] = total
+            now[:live] = new
             if keep:
-                alpha[t, :live], scales[t, :live] = now, total
-        return alpha, scales, logs
+                alpha[t, :live] = new
+        return alpha, scales, now, logs + np.log(now.sum(axis=1))
 
     def log_likelihoods(self, texts: list[np.ndarray]) -> np.ndarray:
         """Natural log-probability of each whole sequence."""
-        blocks, out = Blocks(texts), np.zeros(len(texts))
+        blocks = Blocks(texts)
+        peaks = np.concatenate([[0.0], np.cumsum(np.log(self.peak)[blocks.symbols])])
+        ends = np.cumsum([len(x) for x in texts], dtype=int)
+        out = np.diff(peaks[np.concatenate([[0], ends])]) if len(texts) else np.zeros(0)
         entry, _ = self.edges(blocks)
         for which in blocks.groups():
-            _, _, logs = self.forward(blocks, which, entry[which], False)
-            np.add.at(out, blocks.text[which], logs)
+            np.add.at(out, blocks.text[which], self.forward(blocks, which, entry[which], False)[3])
         return out
 
     def expected(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected starts, moves and emissions of whole texts, all of at least one symbol."""
         blocks, k = Blocks(texts), len(self.start)
-        starts, moves, emitted = np.zeros(k), np.zeros((k, k)), np.zeros(len(self.emit) * k)
+        starts, moves, emitted = np.zeros(k), np.zeros((k, k)), np.zeros(self.emit.shape)
         entries, exits = self.edges(blocks)
         for which in blocks.groups():
             entry, first, size = entries[which], blocks.first[which], blocks.size[which]
-            alpha, scales, _ = self.forward(blocks, which, entry, True)
+            alpha, scales, last, _ = self.forward(blocks, which, entry, True)
             beta = exits[which]
-            beta = beta / (alpha[size - 1, np.arange(len(which))] * beta).sum(axis=1, keepdims=True)
+            beta = beta / (last * beta).sum(axis=1, keepdims=True)
             for t, live, symbols in reversed(list(blocks.steps(which))):
-                ahead = self.emit[symbols] * beta[:live] / scales[t, :live, None]
+                ahead = self.relative[symbols] * beta[:live]
+                if t % REST == 0:
+                    ahead /= scales[t, :live, None]
                 alpha[t, :live] *= beta[:live]  # from here on the probability of each state
                 if t:
                     moves += alpha[t - 1, :live].T @ ahead
@@ -269,9 +294,10 @@ class Chain:
                     moves += entry.T @ (ahead * ~first[:, None])
             starts += alpha[0, first].sum(axis=0)
             real = np.arange(len(alpha))[:, None] < size[None]
-            cells = blocks.symbols[(blocks.start[which][None] + np.arange(len(alpha))[:, None])[real]].astype(np.int64)
-            emitted += np.bincount((cells[:, None] * k + np.arange(k)).ravel(), alpha[real].ravel(), len(emitted))
-        return starts, moves * self.move, emitted.reshape(-1, k)
+            cells = blocks.symbols[(blocks.start[which][None] + np.arange(len(alpha))[:, None])[real]]
+            for state in range(k):
+                emitted[:, state] += np.bincount(cells, alpha[:, :, state][real], len(emitted))
+        return starts, moves * self.move, emitted
 
 
 def sequences(column: pa.Array) -> list[np.ndarray]:
@@ -279,35 +305,40 @@ def sequences(column: pa.Array) -> list[np.ndarray]:
 
 
 def expectations(found: Iterator[pa.RecordBatch], chain: Shared) -> Iterator[pa.RecordBatch]:
-    own: Chain = chain.value
-    total = [np.zeros_like(own.start), np.zeros_like(own.move), np.zeros(own.emit.shape)]
+    own: Chain = chain.value.single()
+    total = [np.zeros(own.start.shape), np.zeros(own.move.shape), np.zeros(own.emit.shape)]
     for batch in found:
-        for part in slices(batch.column("symbols"), BATCH // 2):
+        for part in slices(batch.column("symbols"), SYMBOLS):
             for a, b in zip(total, own.expected(sequences(part))):
                 a += b
-    flat = np.concatenate([x.ravel() for x in total])
-    some = np.flatnonzero(flat)
-    for at in range(0, len(some), 1 << 16):
-        cells = some[at : at + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(flat[cells])], names=["cell", "value"])
+    # rows: the starts, the moves from each state, and the emissions of each class
+    table = np.concatenate([total[0][None], total[1], total[2]])
+    some = np.flatnonzero(table.any(axis=1))
+    for at in range(0, len(some), 1 << 14):
+        rows = some[at : at + (1 << 14)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(rows.astype(np.int32)), *(pa.array(x) for x in table[rows].T)],
+            names=["row", *(f"state{i}" for i in range(table.shape[1]))])
 
 
 def baum_welch(texts: DataFrame, shares: np.ndarray, states: int, rounds: int, seed: int) -> Chain:
     chain = Chain.initial(shares, states, seed)
+    names = [f"state{i}" for i in range(states)]
     for _ in range(rounds):
         shared = Shared(texts.sparkSession, chain)
-        cells = texts.select("symbols").mapInArrow(lambda found, s=shared: expectations(found, s), "cell int, value double")
-        sums = cells.groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
-        flat = np.zeros(states + states * states + len(shares) * states)
-        flat[sums.column("cell").to_numpy()] = sums.column("value").to_numpy()
-        chain = Chain.estimated(flat, shares, states)
+        parts = texts.select("symbols").mapInArrow(
+            lambda found, s=shared: expectations(found, s), "row int, " + ", ".join(f"{x} double" for x in names))
+        sums = parts.groupBy("row").agg(*[F.sum(x).alias(x) for x in names]).toArrow()
+        table = np.zeros((1 + states + len(shares), states))
+        table[sums.column("row").to_numpy()] = np.stack([sums.column(x).to_numpy() for x in names], axis=1)
+        chain = Chain.estimated(table.ravel(), shares, states)
     return chain
 
 
 def likelihood(chain: Shared):
     @F.arrow_udf(DoubleType())
     def score(column: pa.Array) -> pa.Array:
-        parts = [chain.value.log_likelihoods(sequences(part)) for part in slices(column, BATCH)]
+        parts = [chain.value.log_likelihoods(sequences(part)) for part in slices(column, SYMBOLS)]
         return pa.array(np.concatenate([*parts, np.zeros(0)]) / np.log(10))
 
     return score
