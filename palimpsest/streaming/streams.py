@@ -1,161 +1,195 @@
 """Streams of check requests and uploads.
 
-Each stream hands its micro-batches to the batch operators.  What has to be remembered between
-batches is a small table of its own, written per batch number: replaying a batch reads the state
-of the batch before and overwrites its own output, so results appear once.  The rows of a user or
-file are spread over the tasks as in the batch form, in order of time within the micro-batch.
+Quota and repeated uploads need to remember something of each user or file: it is kept by key in the
+state store of the query, is updated only where rows arrive, and goes by itself when it is too old to
+matter.  Checks need none; every micro-batch is one job whose results are stored once for each check.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from palimpsest.functions import fixed
 from palimpsest.operators.match import Corpus
-from palimpsest.operators.quota import HOURS, daily_quota, upload_dedup
-from palimpsest.plans.ai import score_ai
-from palimpsest.plans.check import check_documents
+from palimpsest.operators.quota import HOURS
+from palimpsest.plans.check import check_requests
 from palimpsest.scratch import staging
+from palimpsest.sources.sink import write_results
 
+HOUR_MS = 3600 * 1000
+SPREAD = 64  # parts of the rows that need no state
+ONCE = {"availableNow": True}
+NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
 
-def read_results(spark: SparkSession, folder: str, schema=None) -> DataFrame:
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.option("recursiveFileLookup", True).parquet(f"{folder}/out")
 
+def read_results(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/out")
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = hadoop_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    return files.exists(spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS"))
 
+def _append(rows: DataFrame, folder: str, trigger: dict | None) -> StreamingQuery:
+    """Write a stream's rows once each, by the log of the file sink.
 
-def _run(stream: DataFrame, folder: str, handle: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    def handle_and_tidy(batch: DataFrame, number: int) -> None:
-        with staging(batch.sparkSession):
-            handle(batch, number)
-
-    return (
-        stream.writeStream.foreachBatch(handle_and_tidy)
-        .option("checkpointLocation", f"{folder}/progress")
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
-def _earlier_state(spark: SparkSession, folder: str, number: int) -> DataFrame | None:
-    """What the micro-batch before left; only the first may start without."""
-    if number == 0:
-        return None
-    path = f"{folder}/state/{number - 1}"
-    if not _exists(spark, path):
-        raise RuntimeError(f"the state of the micro-batch before is missing or unfinished: {path}")
-    return spark.read.parquet(path)
-
-
-def quota_stream(requests: DataFrame, users: DataFrame, docs: DataFrame, folder: str) -> StreamingQuery:
-    """Daily quota on a stream of ``request_id, user_id, document_id, ts``.
-
-    The state is one row per user with the last day and what was used on it.
+    Micro-batches without data are off for this query: with timers Spark would run them without end.
     """
-
-    def handle(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        people = users.select("id", "role", "daily_check_limit")
-        state = _earlier_state(spark, folder, number)
-        if state is not None:
-            people = people.join(state, "id", "left")
-        else:
-            people = people.withColumns(
-                {"checks_used_today": F.lit(0), "last_check_reset_date": F.lit(None).cast("date")}
-            )
-        people = people.withColumn("checks_used_today", F.coalesce("checks_used_today", F.lit(0)))
-        daily_quota(batch, people, docs).write.mode("overwrite").parquet(f"{folder}/out/{number}")
-        # ``remaining`` is the limit minus what is used, so its minimum tells the use of the day.
-        done = spark.read.parquet(f"{folder}/out/{number}").filter("accepted")
-        latest = done.groupBy("user_id").agg(
-            F.max(F.struct("day", (-F.col("remaining")).alias("over"))).alias("last")
+    conf = rows.sparkSession.conf
+    before = conf.get(NO_DATA)
+    conf.set(NO_DATA, "false")
+    try:
+        return (
+            rows.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out")
+            .option("checkpointLocation", f"{folder}/progress").trigger(**(trigger or ONCE)).start()
         )
-        limits = users.select(F.col("id").alias("user_id"), "daily_check_limit")
-        new = latest.join(limits, "user_id").select(
-            F.col("user_id").alias("id"),
-            (F.col("daily_check_limit") + F.col("last.over")).cast("long").alias("checks_used_today"),
-            F.col("last.day").alias("last_check_reset_date"),
-        )
-        both = new if state is None else new.unionByName(state.join(new.select("id"), "id", "left_anti"))
-        both.write.mode("overwrite").parquet(f"{folder}/state/{number}")
-
-    return _run(requests, folder, handle)
-
+    finally:
+        conf.set(NO_DATA, before)
+
+
+QUOTA = ("request_id bigint, user_id bigint, document_id bigint, ts timestamp_ntz, day date, accepted boolean,"
+         " remaining bigint, reason string")
+
+
+def _quota_of_user(linger_ms: int) -> Callable:
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values(["ts", "request_id"], kind="stable", ignore_index=True)
+        rows["day"] = rows["ts"].dt.date
+        known, named = rows["has_document"].notna().to_numpy(), rows["role"].notna().to_numpy()
+        valid = known & named
+        held_day, held = state.get if state.exists else (None, 0)
+        used = np.zeros(len(rows), np.int64)
+        for day, at in rows.groupby("day", sort=True).indices.items():
+            used[at] = np.cumsum(valid[at]) + (held if held_day is not None and held_day >= day else 0)
+        limit = rows["limit"].fillna(0).to_numpy(np.int64)
+        free = (rows["role"] != "Student").to_numpy() | (used <= limit)
+        accepted = valid & free
+        if valid.any():
+            last = rows["day"].max()
+            if held_day is not None and held_day >= last:
+                state.update((held_day, held + int(accepted.sum())))
+            else:
+                state.update((last, int(accepted[(rows["day"] == last).to_numpy()].sum())))
+            state.setTimeoutDuration(linger_ms)
+        spent = [fixed.QUOTA_SPENT % n for n in limit.tolist()]
+        reason = np.select([~known, ~named, ~free], [fixed.NO_DOCUMENT, fixed.NO_USER, np.array(spent, object)], None)
+        yield rows[["request_id", "user_id", "document_id", "ts", "day"]].assign(
+            accepted=accepted, remaining=pd.Series(limit - used).where(accepted).astype("Int64"), reason=reason)
+
+    return fold
+
+
+def quota_stream(
+    requests: DataFrame, users: DataFrame, docs: DataFrame, folder: str, linger_hours: float = 48,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Daily quota on a stream of ``request_id, user_id, document_id, ts``.
 
-def upload_dedup_stream(uploads: DataFrame, folder: str, hours: int = HOURS, lateness_hours: int = 0) -> StreamingQuery:
+    The state of a user is the last day and what was used on it.  A micro-batch is taken in order of time,
+    micro-batches in order of arrival: a request for a day before the last one counts on the last one, as
+    there is only one counter.  A user's state goes ``linger_hours`` after the last valid request, when its
+    day is over; it must be more than a day plus the time by which the stream may lag behind.
+    The rows of one user in one micro-batch are held in memory together, so the source's limit of a
+    micro-batch bounds them.  Requests of unknown users or documents need no state and are spread.
+    """
+    people = users.select(F.col("id").alias("user_id"), "role", F.col("daily_check_limit").cast("long").alias("limit"))
+    known = docs.select(F.col("id").alias("document_id"), F.lit(True).alias("has_document"))
+    rows = requests.join(known, "document_id", "left").join(people, "user_id", "left")
+    valid = F.col("has_document").isNotNull() & F.col("role").isNotNull()
+    rows = rows.withColumn("part", F.when(valid, 0).otherwise(F.pmod(F.xxhash64("request_id"), F.lit(SPREAD)) + 1).cast("int"))
+    rows = rows.select("request_id", "user_id", "document_id", "ts", "has_document", "role", "limit", "part")
+    out = rows.groupBy("user_id", "part").applyInPandasWithState(
+        _quota_of_user(int(linger_hours * HOUR_MS)), QUOTA, "day date, used bigint", "append",
+        GroupStateTimeout.ProcessingTimeTimeout)
+    return _append(out, folder, trigger)
+
+
+def _uploads_of_file(keys: list[str], width: int, linger_ms: int) -> Callable:
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values(["ts", "id"], kind="stable", ignore_index=True)
+        ids, at = rows["id"].to_numpy(), rows["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
+        anchors = ids.copy()
+        if key[-1] == 0:
+            anchor, since = state.get if state.exists else (None, None)
+            # what is older than the stored upload is settled among itself and leaves the state alone
+            late = int(np.searchsorted(at, since, side="left")) if since is not None else 0
+            for begin, end, held, start in ((0, late, None, None), (late, len(at), anchor, since)):
+                while begin < end:
+                    if held is None or at[begin] >= start + width:
+                        held, start = int(ids[begin]), int(at[begin])
+                    stop = min(end, int(np.searchsorted(at, start + width, side="left")))
+                    anchors[begin:stop] = held
+                    begin = stop
+                if end == len(at) and held is not None:
+                    anchor, since = held, start
+            state.update((anchor, since))
+            state.setTimeoutDuration(linger_ms)
+        yield rows[["id", *keys, "ts"]].assign(anchor_id=anchors, is_repeat=anchors != ids)
+
+    return fold
+
+
+def upload_dedup_stream(
+    uploads: DataFrame, folder: str, hours: float = HOURS, lag_hours: float = 168, trigger: dict | None = None,
+) -> StreamingQuery:
     """Repeated uploads on a stream of ``id, user_id, file_name, file_size, ts``.
 
-    The state holds the last stored upload per key.  A key leaves it when it is more than ``hours`` plus
-    ``lateness_hours`` older than the earliest upload of a micro-batch, so a time stamp in the future drops none.
+    The state of a key is the upload last stored (the anchor) and its time.  It goes by itself ``hours`` plus
+    ``lag_hours`` after the key's last upload; ``lag_hours`` is how far the stream may fall behind without
+    losing an anchor.  No upload is dropped for its time: one in the future only concerns its own key, and
+    one older than the anchor is compared with the others of its micro-batch that are, and changes no state.
+    There is no watermark, as that would drop late rows, and let one time in the future drop all others.
+    The rows of one key in one micro-batch are held in memory together, so the source's limit of a
+    micro-batch bounds them.  Rows without a full key repeat nothing, need no state and are spread.
     """
     keys = ["user_id", "file_name", "file_size"]
-
-    def handle(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        state = _earlier_state(spark, folder, number)
-        upload_dedup(batch, tuple(keys), hours, state).write.mode("overwrite").parquet(
-            f"{folder}/out/{number}"
-        )
-        rows = spark.read.parquet(f"{folder}/out/{number}").filter("NOT is_repeat").select("id", *keys, "ts")
-        rows = rows if state is None else rows.unionByName(state.select("id", *keys, "ts"))
-        newest = rows.groupBy(*keys).agg(F.max_by(F.struct("id", "ts"), "ts").alias("last"))
-        seen = newest.select("last.id", *keys, "last.ts")
-        least = batch.agg(F.min("ts").alias("least")).first()["least"]
-        if least is not None:
-            seen = seen.filter(F.col("ts") > F.lit(least) - F.expr(f"INTERVAL {hours + lateness_hours} HOURS"))
-        seen.write.mode("overwrite").parquet(f"{folder}/state/{number}")
-
-    return _run(uploads, folder, handle)
+    full = F.lit(True)
+    for key in keys:
+        full = full & F.col(key).isNotNull()
+    part = F.when(full, 0).otherwise(F.pmod(F.xxhash64("id"), F.lit(SPREAD)) + 1).cast("int")
+    rows = uploads.select(F.col("id").cast("long").alias("id"), *keys, "ts").withColumn("part", part)
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ["id", *keys, "ts"])
+    out = rows.groupBy(*keys, "part").applyInPandasWithState(
+        _uploads_of_file(keys, int(hours * HOUR_MS * 1000), int((hours + lag_hours) * HOUR_MS)),
+        f"{kinds}, anchor_id bigint, is_repeat boolean", "anchor bigint, since bigint", "append",
+        GroupStateTimeout.ProcessingTimeTimeout)
+    return _append(out, folder, trigger)
 
 
 def check_stream(
-    requests: DataFrame, corpus: Corpus, folder: str, exclude_self: bool = True, min_percent: float = 0.0
+    requests: DataFrame, corpus: Corpus, folder: str, exclude_self: bool = True, min_percent: float = 0.0,
+    grain: str = "day", trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Check documents that arrive as ``id, content``; every micro-batch is one job.
+    """Check requests ``check_id, id, content, check_date`` as they arrive; every micro-batch is one job.
 
-    A batch that fails leaves its checks as Failed with a note, as one bad batch must not end the
-    stream.
+    Checks with their AI result, and their matches, are stored under ``folder/results`` once for each
+    ``check_id``, so a micro-batch that is repeated changes nothing.  A request without a text ends as
+    Failed; an error of the job (a lost executor, a full disk) ends the query, and its restart takes the
+    micro-batch up again.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
-        target = f"{folder}/out/{number}"
-        batch.persist()
-        try:
-            checked = check_documents(batch, corpus, exclude_self=exclude_self, min_percent=min_percent)
-            scored = score_ai(batch).select(
-                F.col("doc_id").alias("src_id"), "ai_probability", "detection_level"
-            )
-            rows = checked.checks.join(scored, "src_id").select(
-                "src_id",
-                F.lit("Completed").alias("status"),
-                "overall_similarity",
-                F.col("total_matched_documents").cast("long").alias("total_matched_documents"),
-                "ai_probability",
-                "detection_level",
-                F.lit(None).cast("string").alias("notes"),
-            )
-            rows.write.mode("overwrite").parquet(target)
-        except Exception as error:  # noqa: BLE001 - the note is the result
-            rows = batch.select(
-                F.col("id").alias("src_id"),
-                F.lit("Failed").alias("status"),
-                F.lit(0.0).alias("overall_similarity"),
-                F.lit(0).cast("long").alias("total_matched_documents"),
-                F.lit(None).cast("double").alias("ai_probability"),
-                F.lit(None).cast("string").alias("detection_level"),
-                F.lit(fixed.CHECK_FAILED + str(error)).alias("notes"),
-            )
-            rows.write.mode("overwrite").parquet(target)
-        finally:
-            batch.unpersist()
-
-    return _run(requests, folder, handle)
+        with staging(batch.sparkSession):
+            checks, matches = check_requests(batch, corpus, exclude_self, min_percent)
+            write_results(checks, matches, f"{folder}/results", F.col("check_date"), grain, "check_id")
+
+    return (
+        requests.writeStream.foreachBatch(handle).option("checkpointLocation", f"{folder}/progress")
+        .trigger(**(trigger or ONCE)).start()
+    )
+
+
+def check_status(requests: DataFrame, checks: DataFrame) -> DataFrame:
+    """``check_id, status`` of every request so far: Processing until its check is stored."""
+    known = checks.select("check_id", "status")
+    return requests.select("check_id").distinct().join(known, "check_id", "left").select(
+        "check_id", F.coalesce("status", F.lit("Processing")).alias("status"))

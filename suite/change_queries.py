@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palimpsest.functions import fixed
+from palimpsest.functions import ai, fixed
 from palimpsest.operators import changes, integrity, quota
 from palimpsest.scratch import fresh_path
-from palimpsest.sources import ingest
+from palimpsest.sources import ingest, sink
 from palimpsest.sources.tables import spread
 from palimpsest.streaming import streams
-from suite.match_queries import OVERALL, OVERALL_OUT, bench_corpus, bench_sql
+from suite.match_queries import OVERALL, OVERALL_OUT, R2, bench_corpus, bench_sql
 from suite.model import with_tables
 from suite.registry import query
 from suite.text_queries import AI_OUT
@@ -53,12 +53,29 @@ def daily_quota(m):
     return rows.select("request_id", "user_id", "accepted", "remaining", "reason")
 
 
-@query("R2_quota_stream", quota_sql(TIGHT).replace(", reason FROM", " FROM"))
+def arriving(rows, name, thirds, files=4):
+    """The rows as a stream of three micro-batches, one for each condition in ``thirds``.
+
+    Files are taken from old to new, so a micro-batch is what was written together.
+    """
+    folder = fresh_path(rows.sparkSession, name)
+    for third in thirds:
+        rows.filter(third).repartition(files).write.mode("append").parquet(folder)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
+
+
+def in_thirds(rows, name, ts="ts"):
+    """In order of time, cut at the thirds of the time covered."""
+    least, most = rows.agg(F.min(ts), F.max(ts)).first()
+    one, two = (F.lit(least + (most - least) * i / 3).cast("timestamp_ntz") for i in (1, 2))
+    at = F.col(ts)
+    return arriving(rows, name, [at < one, (at >= one) & (at < two), at >= two])
+
+
+@query("R2_quota_stream", quota_sql(TIGHT))
 def quota_stream(m):
-    rows = m.spark.readStream.schema(m.raw("events").schema).parquet(f"{m.sf_dir}/events*.parquet")
-    requests = rows.selectExpr("event_id AS request_id", "user_id", "cast(floor(value) AS bigint) AS document_id", "ts")
     folder = fresh_path(m.spark, "quota-stream")
-    streams.quota_stream(requests, tight_users(m), m.papers(), folder).awaitTermination()
+    streams.quota_stream(in_thirds(m.requests(), "quota-requests"), tight_users(m), m.papers(), folder).awaitTermination()
     out = streams.read_results(m.spark, folder)
     return out.select("request_id", "user_id", "accepted", "remaining", "reason")
 
@@ -86,29 +103,47 @@ def upload_dedup(m):
 
 @query("R3_upload_dedup_stream", UPLOAD_SQL)
 def upload_dedup_stream(m):
-    rows = m.spark.readStream.schema(m.raw("events").schema).parquet(f"{m.sf_dir}/events*.parquet")
-    uploads = rows.selectExpr(
-        "event_id AS id", "user_id % 5 AS user_id", "event_type AS file_name",
-        "cast(floor(value / 100) AS bigint) AS file_size", "ts",
-    )
     folder = fresh_path(m.spark, "upload-stream")
-    streams.upload_dedup_stream(uploads, folder).awaitTermination()
+    streams.upload_dedup_stream(in_thirds(m.uploads(), "upload-rows"), folder).awaitTermination()
     return streams.read_results(m.spark, folder).drop("ts")
 
 
-R1_SQL = bench_sql(f"""SELECT o.src_id, 'Completed' AS status, o.overall_similarity, o.total_matched_documents,
-    a.ai_probability, a.detection_level, NULL::varchar AS notes FROM totals o JOIN ai a ON a.doc_id = o.src_id""",
-    overall=OVERALL, totals=OVERALL_OUT, ai=AI_OUT)
+#: Every document is asked for once, and each tenth a second time under another check id.
+ASKED = """SELECT id, id AS check_id FROM docs UNION ALL SELECT id, id + 1000000000 FROM docs WHERE id % 10 = 0"""
 
+R1_SQL = bench_sql("""SELECT q.check_id, o.src_id AS source_document_id, 'Completed' AS status, o.overall_similarity,
+    o.total_matched_documents, a.ai_probability, a.detection_level AS ai_detection_level, a.n_sentences, NULL::varchar AS notes
+    FROM asked q JOIN totals o ON o.src_id = q.id JOIN ai a ON a.doc_id = q.id""",
+    asked=ASKED, overall=OVERALL, totals=OVERALL_OUT, ai=AI_OUT)
 
-@query("R1_check_stream", R1_SQL)
-def check_stream(m):
-    """Every document arrives as a request and is checked against the benchmark texts."""
-    rows = m.spark.readStream.schema(m.raw("documents").schema).parquet(f"{m.sf_dir}/documents*.parquet")
-    requests = rows.select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+
+def stored_checks(m):
+    """Requests in three micro-batches, checked against the benchmark texts; the folder of the results."""
+    docs = spread(m.raw("documents")).select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    first = docs.select(F.col("id").alias("check_id"), "id", "content", as_of().alias("check_date"))
+    again = first.filter("id % 10 = 0").withColumn("check_id", F.col("check_id") + 1000000000)
+    third = F.pmod(F.xxhash64("check_id"), F.lit(3))
+    requests = arriving(first.unionByName(again), "check-requests", [third == i for i in range(3)])
     folder = fresh_path(m.spark, "check-stream")
     streams.check_stream(requests, bench_corpus(m), folder, exclude_self=False, min_percent=20.0).awaitTermination()
-    return streams.read_results(m.spark, folder)
+    return f"{folder}/results"
+
+
+@query("R1_check_stream", R1_SQL)
+def check_stream(m):
+    checks = sink.read_checks(m.spark, stored_checks(m))
+    sentences = F.size(ai.from_stored(F.col("ai_detection_json"))["sentences"]).cast("long")
+    return checks.withColumn("n_sentences", sentences).drop("ai_detection_json", "check_date", "period")
+
+
+@query("R1_stored_matches", bench_sql(f"""SELECT q.check_id, b.pos, b.matched_id AS matched_document_id, c.clean AS matched_text,
+    CAST({R2.format('b.score_raw')} AS double) AS similarity_score FROM asked q JOIN best b ON b.src_id = q.id
+    JOIN counted c ON c.src_id = b.src_id AND c.pos = b.pos
+    WHERE {R2.format('b.score_raw')} > 20 AND b.matched_id IS NOT NULL""", asked=ASKED))
+def stored_matches(m):
+    rows = sink.read_matches(m.spark, stored_checks(m), "check_id")
+    return rows.select("check_id", "pos", "matched_document_id", "matched_text",
+                       F.col("similarity_score").cast("double").alias("similarity_score"))
 
 
 # --- table changes ---------------------------------------------------------------------------------

@@ -1,12 +1,15 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import fixed
 from palimpsest.operators import match, quota
 from palimpsest.operators import segments as seg
+from palimpsest.plans import check
+from palimpsest.sources import sink
 from palimpsest.streaming import streams
 
 DAY = datetime(2024, 3, 1)
@@ -118,28 +121,122 @@ def test_upload_stream_equals_batch(spark, tmp_path):
     assert got == folded(rows)
 
 
-def test_check_stream_completes_and_reports_failure(spark, tmp_path):
-    corpus = match.Corpus(seg.contents(spark.createDataFrame([(5, "one two three four five six seven")], "id long, content string")))
-    frame = spark.createDataFrame([(1, "Two three four five six."), (2, "Nothing like it here at all.")], "id long, content string")
-    frame.write.parquet(str(tmp_path / "in"))
-    streams.check_stream(arriving(spark, str(tmp_path / "in"), frame.schema), corpus, str(tmp_path / "c")).awaitTermination()
-    got = {r.src_id: r for r in streams.read_results(spark, str(tmp_path / "c")).collect()}
-    assert (got[1].status, got[1].overall_similarity, got[1].total_matched_documents) == ("Completed", 100.0, 1)
-    assert got[2].overall_similarity == 0.0
+ASKED = "check_id long, id long, content string, check_date timestamp_ntz"
+
+
+def small_corpus(spark):
+    return match.Corpus(seg.contents(spark.createDataFrame(
+        [(5, "one two three four five six seven"), (6, "Other words of another text stand here.")], "id long, content string")))
+
+
+def asked(spark, rows):
+    return spark.createDataFrame([(c, i, t, DAY) for c, i, t in rows], ASKED)
 
+
+def test_check_stream_by_check_id(spark, tmp_path):
+    """A document asked for twice has two checks, two versions of one are told apart, and only the row without text fails."""
+    first = asked(spark, [(1, 50, "Two three four five six."), (2, 50, "Two three four five six."), (3, 51, None)])
+    second = asked(spark, [(4, 50, "Nothing like it here at all."), (1, 50, "Two three four five six.")])
+    for part in (first, second):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    streams.check_stream(arriving(spark, str(tmp_path / "in"), first.schema), small_corpus(spark), str(tmp_path / "c")).awaitTermination()
+    results = str(tmp_path / "c" / "results")
+    rows = sink.read_checks(spark, results).collect()
+    got = {r.check_id: r for r in rows}
+    assert len(rows) == 4 and [got[i].status for i in (1, 2, 3, 4)] == ["Completed", "Completed", "Failed", "Completed"]
+    assert (got[1].source_document_id, got[1].overall_similarity, got[1].total_matched_documents) == (50, 100.0, 1)
+    assert got[2].overall_similarity == 100.0 and got[4].overall_similarity == 0.0
+    assert got[3].notes.startswith(fixed.CHECK_FAILED) and got[3].ai_detection_json is None
+    assert '"detection_level"' in got[1].ai_detection_json
+    matches = {(r.check_id, r.matched_document_id) for r in sink.read_matches(spark, results, "check_id").collect()}
+    assert {(1, 5), (2, 5)} <= matches and not {c for c, _ in matches} & {3, 4}
+    status = streams.check_status(asked(spark, [(1, 50, ""), (9, 50, "")]), sink.read_checks(spark, results))
+    assert {tuple(r) for r in status.collect()} == {(1, "Completed"), (9, "Processing")}
+
+
+def test_an_error_of_the_job_ends_the_check_stream(spark, tmp_path):
+    corpus = small_corpus(spark)
     broken = match.Corpus.__new__(match.Corpus)
     broken.k, broken.units, broken.ids = 2, corpus.units.drop("grams"), corpus.ids
-    streams.check_stream(arriving(spark, str(tmp_path / "in"), frame.schema), broken, str(tmp_path / "f")).awaitTermination()
-    failed = streams.read_results(spark, str(tmp_path / "f")).collect()
-    assert {r.status for r in failed} == {"Failed"} and all(r.notes.startswith(fixed.CHECK_FAILED) for r in failed)
+    frame = asked(spark, [(1, 50, "Two three four five six.")])
+    frame.write.parquet(str(tmp_path / "in"))
+    with pytest.raises(Exception):
+        streams.check_stream(arriving(spark, str(tmp_path / "in"), frame.schema), broken, str(tmp_path / "f")).awaitTermination()
+    # the restart takes the same requests up again
+    streams.check_stream(arriving(spark, str(tmp_path / "in"), frame.schema), corpus, str(tmp_path / "f")).awaitTermination()
+    assert sink.read_checks(spark, str(tmp_path / "f" / "results")).count() == 1
+
+
+def test_a_document_given_twice(spark):
+    """Words are counted once however often the document is named."""
+    corpus = small_corpus(spark)
+    text = "Two three four five six. And this is a different sentence here."
+    given = spark.createDataFrame([(1, text), (1, text), (2, "one two three four five.")], "id long, content string")
+    result = check.check_documents(given, corpus)
+    rows = [tuple(r)[:4] for r in result.checks.orderBy("src_id").collect()]
+    assert rows[0] == rows[1] and [r[0] for r in rows] == [1, 1, 2]
+    assert rows[0][3] == 12 and rows[0][2] == 5
+    assert result.segments.count() == 3
+
+
+def test_results_written_twice_stand_once(spark, tmp_path):
+    checks = spark.createDataFrame([(1, DAY), (2, DAY + timedelta(days=40))], "id long, check_date timestamp_ntz")
+    matches = spark.createDataFrame([(1, 0, DAY), (1, 1, DAY), (2, 0, DAY + timedelta(days=40))],
+                                    "check_id long, pos int, check_date timestamp_ntz")
+    folder = str(tmp_path / "r")
+    sink.write_results(checks.filter("id = 1"), matches.filter("check_id = 1"), folder, F.col("check_date"))
+    # the job ended after the matches of check 2: nobody sees them
+    sink.append_new(matches.filter("check_id = 2"), f"{folder}/matches", ["check_id", "pos"],
+                    F.to_date(F.date_trunc("month", "check_date")))
+    assert {r.check_id for r in sink.read_matches(spark, folder).collect()} == {1}
+    for _ in range(2):
+        sink.write_results(checks, matches, folder, F.col("check_date"))
+    assert sink.read_checks(spark, folder).count() == 2 and sink.read_matches(spark, folder).count() == 3
+    assert spark.read.parquet(f"{folder}/matches").count() == 3
+
+
+def test_late_uploads_keep_the_anchor(spark, tmp_path):
+    parts = [[(1, 0), (2, 300)], [(3, 10), (4, 60), (5, 310)], [(6, 500)]]
+    rows = [[(i, 1, "a", 1, DAY + timedelta(minutes=at)) for i, at in part] for part in parts]
+    for part in rows:
+        spark.createDataFrame(part, UPLOADS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    frame = spark.createDataFrame(rows[0], UPLOADS)
+    streams.upload_dedup_stream(arriving(spark, str(tmp_path / "in"), frame.schema), str(tmp_path / "u")).awaitTermination()
+    got = {r.id: r.anchor_id for r in streams.read_results(spark, str(tmp_path / "u")).collect()}
+    # 3 and 4 are older than the stored upload 2: settled among themselves, and 5 still repeats 2
+    assert got == {1: 1, 2: 2, 3: 3, 4: 3, 5: 2, 6: 6}
+
+
+class Held:
+    """A group's state outside a query."""
+
+    def __init__(self, value=None, timed_out=False):
+        self.value, self.hasTimedOut, self.timeout = value, timed_out, None
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutDuration(self, ms):
+        self.timeout = ms
 
 
-def test_lost_state_ends_the_stream(spark, tmp_path):
-    assert streams._earlier_state(spark, str(tmp_path), 0) is None
-    spark.range(3).write.parquet(str(tmp_path / "state" / "0"))
-    assert streams._earlier_state(spark, str(tmp_path), 1).count() == 3
-    with pytest.raises(RuntimeError):
-        streams._earlier_state(spark, str(tmp_path), 2)
+def test_state_goes_by_itself():
+    for fold in (streams._quota_of_user(1000), streams._uploads_of_file(["user_id"], 10, 1000)):
+        held = Held((1, 2), timed_out=True)
+        assert list(fold((1, 0), iter(()), held)) == [] and held.value is None
+    frame = pd.DataFrame({"id": [1], "user_id": [1], "ts": pd.to_datetime([DAY])})
+    held = Held()
+    list(streams._uploads_of_file(["user_id"], 10, 5000)((1, 0), iter([frame]), held))
+    assert held.value[0] == 1 and held.timeout == 5000
+    held = Held()
+    list(streams._uploads_of_file(["user_id"], 10, 5000)((None, 3), iter([frame]), held))
+    assert held.value is None  # nothing is kept for a row without a full key
 
 
 def test_a_time_in_the_future_drops_no_other_key(spark, tmp_path):

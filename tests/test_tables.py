@@ -131,6 +131,7 @@ def test_pasted_and_generated_documents(spark):
 
 def test_results_are_partitioned_by_period(spark, tmp_path):
     checks = spark.createDataFrame([(1, datetime(2024, 1, 3)), (2, datetime(2024, 2, 3))], "id long, check_date timestamp_ntz")
-    sink.write_results(checks, checks, str(tmp_path / "r"), F.col("check_date"))
+    matches = checks.select(F.col("id").alias("check_id"), F.lit(0).alias("pos"), "check_date")
+    sink.write_results(checks, matches, str(tmp_path / "r"), F.col("check_date"))
     back = spark.read.parquet(str(tmp_path / "r" / "checks"))
     assert back.filter("period = date'2024-02-01'").select("id").collect()[0].id == 2
