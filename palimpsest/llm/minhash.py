@@ -7,12 +7,14 @@ wrong ones, and the rest are confirmed on whole shingle sets.
 
 No group is ever written out as pairs.  In each bucket all nodes are first compared with ``CENTRES`` nodes of
 it, those that come first by a few orders of all nodes; as the orders are the same in every bucket, a group
-of any size is linked by a few pairs a member.  Nodes of buckets that still hold several components are
-then searched once more by their rarest shingles: two sets as similar as asked share one of the first
-``|x| - ceil(threshold * |x|) + 1`` shingles of each in any order common to all, here from rare to frequent, so
-documents that only share a template, a passage or a boilerplate do not meet there.  Only nodes of different
-components are compared, and never two of the largest one of a shingle.  So each pair that shares a band key
-is either connected already or tested.  How frequent a shingle is follows from counts in a table of
+of any size is linked by a few pairs a member.  Where several components are left in a bucket this is done
+again with other centres, up to ``TURNS`` times, only between nodes of different components.  What is then
+left is searched by its rarest shingles: two sets as similar as asked share one of the first
+``|x| - ceil(threshold * |x|) + 1`` shingles of each in any order common to all, here from rare to frequent,
+and the first one they share stands so far in front in both that what follows can still suffice.  Documents
+that only share a template, a passage or a boilerplate do not meet there.  Only nodes of different components
+are compared, and never two of the largest one of a shingle.  So each pair that shares a band key is either
+connected already or tested.  How frequent a shingle is follows from counts in a table of
 ``CELLS`` cells; these only choose the order, any order finds all pairs.
 
 A pair at the threshold shares none of the 32 bands of 4 minima with probability 5e-6, and the
@@ -35,7 +37,7 @@ from palimpsest.scratch import stage
 MINIMA, ROWS, BITS = 128, 4, 4
 BANDS, LANES = MINIMA // ROWS, 64 // BITS
 SLACK = 0.2
-CENTRES = 3
+CENTRES, TURNS = 3, 5
 CELLS = 1 << 20
 BATCH = 2 << 20  # bytes of text in a task at once
 _seeds = np.random.default_rng(20240607)
@@ -135,18 +137,20 @@ def prefixes(found: Iterator[pa.RecordBatch], counts: Shared, percent: int) -> I
     often = counts.value
     for batch in found:
         values, offsets = flat(batch.column("shingles"))
-        nodes, tokens, sizes = [], [], []
+        nodes, tokens, places, sizes = [], [], [], []
         for node, a, b in zip(batch.column("node").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
             own = values[a:b]
             first = len(own) - -(-percent * len(own) // 100) + 1
             order = np.lexsort((own, often[(own % U(CELLS)).astype(np.int64)]))[:first]
             tokens.append(own[order])
+            places.append(np.arange(len(order)))
             nodes.append(np.full(len(order), node))
             sizes.append(np.full(len(order), len(own)))
         none = [np.zeros(0, np.int64)]
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate([*tokens, np.zeros(0, U)]).view(np.int64)), pa.array(np.concatenate(nodes + none)),
-             pa.array(np.concatenate(sizes + none))], names=["token", "node", "size"])
+             pa.array(np.concatenate(places + none)), pa.array(np.concatenate(sizes + none))],
+            names=["token", "node", "place", "size"])
 
 
 def estimate(a: str, b: str) -> str:
@@ -211,6 +215,13 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def still_open(crowded: DataFrame, roots: DataFrame) -> DataFrame:
+    """``band, key, node, root`` of the buckets that hold several components."""
+    members = crowded.select("band", "key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = members.groupBy("band", "key").agg(F.min("root").alias("least"), F.max("root").alias("most"))
+    return stage(members.join(mixed.filter("least <> most").select("band", "key"), ["band", "key"]), "minhash-open")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, doc_id: str = "doc_id",
                     text: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
@@ -241,47 +252,55 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, doc_id: s
     same = rows.join(same, "doc_id").filter("node <> a").select("a", F.col("node").alias("b"))
 
     entries = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    orders = [F.xxhash64("node", F.lit(i)) for i in range(CENTRES)]
-    buckets = entries.groupBy("band", "key").agg(
-        F.count("*").alias("held"), *[F.min_by("node", order).alias(f"centre{i}") for i, order in enumerate(orders)],
-    ).filter("held > 1")
-    crowded = stage(entries.join(buckets, ["band", "key"]), "minhash-crowded")
+    buckets = entries.groupBy("band", "key").agg(F.count("*").alias("held")).filter("held > 1")
+    crowded = stage(entries.join(buckets.select("band", "key"), ["band", "key"]), "minhash-crowded")
     signed = nodes.select("node", "signature")
     first = signed.select(F.col("node").alias("a"), F.col("signature").alias("one"))
     second = signed.select(F.col("node").alias("b"), F.col("signature").alias("two"))
     likely = f"{estimate('one', 'two')} >= {percent / 100 - SLACK}D"
-
-    pairs = crowded.select("node", F.explode(F.array(*[f"centre{i}" for i in range(CENTRES)])).alias("centre"))
-    stars = pairs.filter("node <> centre").select(
-        F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    stars = stage(stars.join(first, "a").join(second, "b").filter(likely).select("a", "b"), "minhash-stars")
     sets = shingles_of(crowded, texts, nodes, size)
-    links = stage(confirmed(stars, sets, percent).union(same), "minhash-links")
-    roots = components(links)
 
-    members = crowded.select("band", "key", "node").join(roots, "node", "left").withColumn(
-        "root", F.coalesce("root", "node"))
-    mixed = members.groupBy("band", "key").agg(F.min("root").alias("least"), F.max("root").alias("most"))
-    mixed = mixed.filter("least <> most").select("band", "key")
-    open_ = stage(members.join(mixed, ["band", "key"]).select("node", "root").distinct(), "minhash-open")
+    links = stage(same, "minhash-links")
+    roots = components(links)
+    open_ = crowded.withColumn("root", F.col("node")) if links.isEmpty() else still_open(crowded, roots)
+    for turn in range(TURNS):
+        orders = [F.xxhash64("node", F.lit(turn * CENTRES + i)) for i in range(CENTRES)]
+        centres = open_.groupBy("band", "key").agg(
+            *[F.min_by(F.struct("node", "root"), order).alias(f"centre{i}") for i, order in enumerate(orders)])
+        pairs = open_.join(centres, ["band", "key"]).select(
+            "node", "root", F.explode(F.array(*[f"centre{i}" for i in range(CENTRES)])).alias("centre"))
+        stars = pairs.filter("root <> centre.root").select(
+            F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b")).distinct()
+        stars = stage(stars.join(first, "a").join(second, "b").filter(likely).select("a", "b"), "minhash-stars")
+        more = stage(confirmed(stars, sets, percent), "minhash-more")
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        roots = components(links)
+        open_ = still_open(crowded, roots)
+
+    open_ = stage(open_.select("node", "root").distinct(), "minhash-nodes")
     sets_open = sets.join(open_.select("node"), "node")
     counts = np.zeros(CELLS, np.int64)
     seen = sets_open.select("shingles").mapInArrow(cells, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts[seen.column("cell").to_numpy()] = seen.column("n").to_numpy()
     shared = Shared(docs.sparkSession, counts)
     tokens = sets_open.select("node", "shingles").mapInArrow(
-        lambda found: prefixes(found, shared, percent), "token bigint, node bigint, size bigint")
+        lambda found: prefixes(found, shared, percent), "token bigint, node bigint, place bigint, size bigint")
     tokens = stage(tokens.join(open_, "node"), "minhash-tokens")
     parts = tokens.groupBy("token", "root").agg(F.count("*").alias("n"))
     met = parts.groupBy("token").agg(
         F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    tokens = stage(tokens.join(met.select("token", "main"), "token"), "minhash-met")
-    outer = tokens.filter("root <> main").select(
-        "token", F.col("node").alias("x"), F.col("root").alias("x_root"), F.col("size").alias("x_size"))
+    tokens = stage(tokens.join(met.select("token", "main"), "token").join(signed, "node"), "minhash-met")
+    outer = tokens.filter("root <> main").select("token", *[
+        F.col(c).alias(f"x_{c}") for c in ("node", "root", "place", "size", "signature")])
     cross = outer.join(tokens, "token").filter(
-        f"x_root <> root AND (root = main OR x < node) AND 100 * least(x_size, size) >= {percent} * greatest(x_size, size)")
-    cross = cross.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    cross = stage(cross.join(first, "a").join(second, "b").filter(likely).select("a", "b"), "minhash-cross")
+        "x_root <> root AND (root = main OR x_node < node)"
+        f" AND 100 * least(x_size, size) >= {percent} * greatest(x_size, size)"
+        f" AND {100 + percent} * least(x_size - x_place, size - place) >= {percent} * (x_size + size)"
+        f" AND {estimate('x_signature', 'signature')} >= {percent / 100 - SLACK}D")
+    cross = stage(cross.select(F.least("x_node", "node").alias("a"), F.greatest("x_node", "node").alias("b")).distinct(),
+                  "minhash-cross")
     more = stage(confirmed(cross, sets, percent), "minhash-more")
     if not more.isEmpty():
         roots = components(links.union(more))
