@@ -12,23 +12,48 @@ DOCUMENT_FIELDS = ["title", "document_type", "subject_id", "semester", "year", "
 USER_FIELDS = ["full_name", "email", "phone_number", "faculty_id", "department_id", "is_active"]
 
 
-def upsert_dim(base: DataFrame, changes: DataFrame, as_of: Column) -> DataFrame:
+REPEATED = "a change batch names the id %s more than once, and no sequence tells which change is last"
+
+
+def last_changes(changes: DataFrame, fields: list[str], seq: str | None = None) -> DataFrame:
+    """``id, _<field>..., _new, _times``: one row per id, the last change in order of ``seq``.
+
+    Equal sequence numbers are decided by the change itself (the larger one), so the result doesn't depend
+    on the order of rows.  Without ``seq`` an id may stand there once; a second one ends the job.  Only one
+    change an id and task is shuffled, and the join by ``id`` that follows needs no further shuffle.
+    """
+    rows = changes.filter("id IS NOT NULL")
+    order = [F.col(seq)] if seq is not None else []
+    last = F.max(F.struct(*order, F.struct(F.lit(True).alias("_new"), *[F.col(c).alias(f"_{c}") for c in fields]).alias("row")))
+    grouped = rows.groupBy("id").agg(last.alias("last"), F.count("*").alias("_times"))
+    row = F.col("last.row")
+    if seq is None:
+        told = F.raise_error(F.format_string(REPEATED, F.col("id").cast("string"))).cast(grouped.select(row).schema[0].dataType)
+        row = F.when(F.col("_times") > 1, told).otherwise(row)
+    return grouped.select("id", row.alias("row"), "_times").select("id", "row.*", "_times")
+
+
+def upsert_dim(base: DataFrame, changes: DataFrame, as_of: Column, seq: str | None = None) -> DataFrame:
     """Create or update by ``id``.  An update overwrites every field the change lists, also with
-    null, and stamps ``updated_date``; a create is active and stamps ``created_date``."""
+    null, and stamps ``updated_date``; a create is active and stamps ``created_date``.
+
+    A batch that names an id several times needs ``seq``, the column that orders its changes: what
+    counts is the last one.  Of an id that is new the first change creates, the others update it."""
     stamps = ("created_date", "updated_date")
-    fields = [c for c in changes.columns if c != "id" and c not in stamps]
-    new = changes.select("id", *[F.col(c).alias(f"_{c}") for c in fields], F.lit(True).alias("_new"))
+    fields = [c for c in changes.columns if c not in ("id", seq) and c not in stamps]
+    new = last_changes(changes, fields, seq)
     old = base.withColumn("_old", F.lit(True))
     joined = old.join(new, "id", "full_outer")
     is_new, is_old = F.col("_new").isNotNull(), F.col("_old").isNotNull()
+    is_update = is_new & (is_old | (F.col("_times") > 1))
     out = []
     for column in base.columns:
         if column == "created_date":
             value = F.when(is_old, F.col(column)).otherwise(as_of)
         elif column == "updated_date":
-            value = F.when(is_old & is_new, as_of).otherwise(F.col(column))
+            value = F.when(is_update, as_of).otherwise(F.col(column))
         elif column == "is_active" and column in fields:
-            value = F.when(is_old & is_new, F.col("_is_active")).when(is_new, F.lit(True)).otherwise(F.col(column))
+            value = F.when(is_update, F.col("_is_active")).when(is_new, F.lit(True)).otherwise(F.col(column))
         elif column == "is_active":
             value = F.coalesce(F.col(column), F.lit(True))
         elif column in fields:
@@ -39,9 +64,11 @@ def upsert_dim(base: DataFrame, changes: DataFrame, as_of: Column) -> DataFrame:
     return joined.select(*out)
 
 
-def update_fields(base: DataFrame, changes: DataFrame, fields: list[str]) -> DataFrame:
-    """Overwrite ``fields`` of the rows named in ``changes``; unknown ids change nothing."""
-    new = changes.select("id", *[F.col(c).alias(f"_{c}") for c in fields], F.lit(True).alias("_new"))
+def update_fields(base: DataFrame, changes: DataFrame, fields: list[str], seq: str | None = None) -> DataFrame:
+    """Overwrite ``fields`` of the rows named in ``changes``; unknown ids change nothing.
+
+    Of several changes of one id the last in order of ``seq`` counts, as for ``upsert_dim``."""
+    new = last_changes(changes, fields, seq)
     joined = base.join(new, "id", "left")
     return joined.select(
         *[
@@ -52,12 +79,12 @@ def update_fields(base: DataFrame, changes: DataFrame, fields: list[str]) -> Dat
     )
 
 
-def update_documents(docs: DataFrame, changes: DataFrame) -> DataFrame:
-    return update_fields(docs, changes, [c for c in DOCUMENT_FIELDS if c in changes.columns])
+def update_documents(docs: DataFrame, changes: DataFrame, seq: str | None = None) -> DataFrame:
+    return update_fields(docs, changes, [c for c in DOCUMENT_FIELDS if c in changes.columns], seq)
 
 
-def update_users(users: DataFrame, changes: DataFrame) -> DataFrame:
-    return update_fields(users, changes, [c for c in USER_FIELDS if c in changes.columns])
+def update_users(users: DataFrame, changes: DataFrame, seq: str | None = None) -> DataFrame:
+    return update_fields(users, changes, [c for c in USER_FIELDS if c in changes.columns], seq)
 
 
 def soft_delete(base: DataFrame, keys: DataFrame, as_of: Column | None = None) -> DataFrame:

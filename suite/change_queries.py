@@ -170,6 +170,52 @@ def upsert_dim(m):
     )
 
 
+#: A log of changes that names each id several times; the last one counts.
+CHANGE_LOG = """SELECT arg_max(struct_pack(code := 'S' || s_suppkey, name := s_name, faculty_id := s_nationkey % 5,
+    is_active := s_acctbal >= 0, public := s_acctbal > 0, subject_id := CASE WHEN s_nationkey > 5 THEN s_nationkey END), s_suppkey) AS c,
+    s_suppkey % 40 AS id, count(*) AS times FROM supplier GROUP BY s_suppkey % 40"""
+
+
+def change_log(m, *columns):
+    return m.raw("supplier").selectExpr("s_suppkey % 40 AS id", "s_suppkey AS seq", *columns)
+
+
+@query("D1_change_log", with_tables("departments", """SELECT CAST(coalesce(d.id, l.id) AS bigint) AS id, coalesce(l.c.code, d.code) AS code,
+    coalesce(l.c.name, d.name) AS name, CAST(coalesce(l.c.faculty_id, d.faculty_id) AS bigint) AS faculty_id,
+    CASE WHEN l.id IS NULL THEN d.is_active WHEN d.id IS NULL AND l.times = 1 THEN true ELSE l.c.is_active END AS is_active,
+    d.id IS NULL AS is_created, l.id IS NOT NULL AND (d.id IS NOT NULL OR l.times > 1) AS is_updated
+    FROM departments d FULL JOIN log l ON l.id = d.id""", log=CHANGE_LOG))
+def upsert_change_log(m):
+    none = F.lit(None).cast("timestamp_ntz")
+    base = m.departments().withColumns({"created_date": none, "updated_date": none})
+    new = change_log(m, "concat('S', s_suppkey) AS code", "s_name AS name", "s_nationkey % 5 AS faculty_id",
+                     "s_acctbal >= 0 AS is_active")
+    merged = changes.upsert_dim(base, new, as_of(), "seq")
+    return merged.select(
+        F.col("id").cast("long").alias("id"), "code", "name", F.col("faculty_id").cast("long").alias("faculty_id"),
+        "is_active", F.col("created_date").isNotNull().alias("is_created"), F.col("updated_date").isNotNull().alias("is_updated"),
+    )
+
+
+@query("D4_change_log", with_tables("papers", """SELECT p.id, coalesce(l.c.name, p.title) AS title,
+    CASE WHEN l.id IS NULL THEN p.document_type ELSE 'Thesis' END AS document_type,
+    CAST(CASE WHEN l.id IS NULL THEN p.subject_id ELSE l.c.subject_id END AS bigint) AS subject_id,
+    coalesce(l.c.public, p.is_public) AS is_public FROM papers p LEFT JOIN log l ON l.id = p.id""", log=CHANGE_LOG))
+def documents_change_log(m):
+    new = change_log(m, "s_name AS title", "'Thesis' AS document_type",
+                     "CASE WHEN s_nationkey > 5 THEN s_nationkey END AS subject_id", "s_acctbal > 0 AS is_public")
+    rows = changes.update_documents(m.papers(), new, "seq")
+    return rows.select("id", "title", "document_type", F.col("subject_id").cast("long").alias("subject_id"), "is_public")
+
+
+@query("D5_change_log", with_tables("users", """SELECT u.id, coalesce(l.c.name, u.full_name) AS full_name,
+    CASE WHEN l.id IS NULL THEN u.is_active ELSE l.c.is_active END AS is_active FROM users u LEFT JOIN log l ON l.id = u.id""",
+    log=CHANGE_LOG))
+def users_change_log(m):
+    new = change_log(m, "s_name AS full_name", "s_acctbal >= 0 AS is_active")
+    return changes.update_users(m.users(), new, "seq").select("id", "full_name", "is_active")
+
+
 @query("D2_soft_delete", with_tables("users", """SELECT u.id, u.is_active AND s.s_suppkey IS NULL AS is_active
     FROM users u LEFT JOIN (SELECT DISTINCT s_suppkey FROM supplier WHERE s_acctbal < 1000) s ON s.s_suppkey = u.id"""))
 def soft_delete(m):
@@ -345,6 +391,39 @@ def import_folder(m):
     return docs.select("title", "content", "file_size", "document_type", "semester", F.col("year").cast("long").alias("year"))
 
 
+def written_folder(m):
+    """The texts as files of a folder: with a byte-order mark, with a byte that is no UTF-8, or as they are."""
+    rows = m.raw("documents").filter("text IS NOT NULL").selectExpr(
+        "doc_id", "CASE doc_id % 3 WHEN 0 THEN concat(X'EFBBBF', encode(text, 'UTF-8')) WHEN 1 THEN concat(encode(text, 'UTF-8'), X'20FF')"
+        " ELSE encode(text, 'UTF-8') END AS body")
+    folder = fresh_path(m.spark, "inbox")
+
+    def put(found):
+        # one file a document, by the file system of the folder
+        import pyarrow as pa
+        from pyarrow import fs
+
+        local = "/" + folder.removeprefix("file:").lstrip("/")
+        files, base = fs.FileSystem.from_uri(folder) if "://" in folder and not folder.startswith("file:") else (fs.LocalFileSystem(), local)
+        files.create_dir(base)
+        for batch in found:
+            for number, body in zip(batch.column("doc_id").to_pylist(), batch.column("body").to_pylist()):
+                with files.open_output_stream(f"{base}/my_doc-{number}.txt") as out:
+                    out.write(body)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id")], names=["doc_id"])
+
+    rows.mapInArrow(put, "doc_id bigint").count()
+    return folder
+
+
+@query("S2_read_folder", """SELECT 'my doc ' || doc_id AS title, text || CASE doc_id % 3 WHEN 1 THEN ' ' || chr(65533) ELSE '' END AS content,
+    (octet_length(encode(text)) + [3, 2, 0][doc_id % 3 + 1])::bigint AS file_size FROM documents WHERE regexp_matches(text, '\\S')
+    OR (doc_id % 3 = 1 AND text IS NOT NULL)""")
+def read_written_folder(m):
+    docs, _, _ = ingest.import_folder(m.spark, written_folder(m), 1, as_of())
+    return docs.select("title", "content", "file_size")
+
+
 @query("A8_import_report", with_tables("", """SELECT (SELECT count(*) FROM ok) AS success_count, (SELECT count(*) FROM bad) AS failed_count,
     'Đã nhập thành công ' || (SELECT count(*) FROM ok) || '/' || ((SELECT count(*) FROM ok) + (SELECT count(*) FROM bad)) || ' tài liệu.' AS message""",
     files=FILES, ok=IMPORTED, bad=FAILED))

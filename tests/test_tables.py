@@ -1,5 +1,6 @@
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import fixed
@@ -117,6 +118,35 @@ def test_import_folder(spark, tmp_path):
     assert ingest.import_report(docs.limit(0), failed.limit(0)).first().message == fixed.IMPORT_NOTHING
 
 
+def test_import_of_bad_bytes_marks_and_missing_folders(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"\xef\xbb\xbfgood \xff\xc3 end")
+    (tmp_path / "b.Txt").write_bytes("wide".encode("utf-16"))
+    (tmp_path / "c.txt").write_bytes(b"\xef\xbb\xbf \n")
+    (tmp_path / "d.bin").write_bytes(b"\x00")
+    docs, failed, report = ingest.import_folder(spark, str(tmp_path), 1, as_of())
+    assert [r.content for r in docs.collect()] == ["good \ufffd\ufffd end"]
+    assert sorted(r.file_name for r in failed.collect()) == ["b.Txt", "c.txt"]
+    assert report.first().message == fixed.IMPORT_MESSAGE % (1, 3)
+    docs, failed, report = ingest.import_folder(spark, str(tmp_path / "none"), 1, as_of())
+    assert docs.count() == failed.count() == 0 and report.first().message == fixed.IMPORT_NO_FOLDER
+
+
+def test_change_log_takes_the_last_change(spark):
+    base = spark.createDataFrame([(1, "a", True)], "id int, name string, is_active boolean").withColumns(
+        {"created_date": F.lit(None).cast("timestamp_ntz"), "updated_date": F.lit(None).cast("timestamp_ntz")})
+    log = spark.createDataFrame([(1, 2, "z", False), (1, 1, "y", True), (2, 5, "n", False), (3, 1, "p", False), (3, 4, None, False),
+                                 (None, 1, "x", True)], "id int, seq int, name string, is_active boolean")
+    rows = {r.id: r for r in changes.upsert_dim(base, log, as_of(), "seq").collect()}
+    assert {i: (r.name, r.is_active, r.created_date is not None, r.updated_date is not None) for i, r in rows.items()} == {
+        1: ("z", False, False, True), 2: ("n", True, True, False), 3: (None, False, True, True)}
+    assert [r.name for r in changes.update_fields(base, log, ["name"], "seq").collect()] == ["z"]
+    for apply in (lambda: changes.upsert_dim(base, log.drop("seq"), as_of()), lambda: changes.update_fields(base, log, ["name"])):
+        with pytest.raises(Exception, match="more than once"):
+            apply().collect()
+    once = log.filter("id = 2").drop("seq")
+    assert changes.upsert_dim(base, once, as_of()).count() == 2
+
+
 def test_pasted_and_generated_documents(spark):
     rows = spark.createDataFrame([(" ", "xin chào"), ("T", "é"), ("U", " \n")], "title string, content string")
     got = [(r.title, r.file_size) for r in ingest.pasted_documents(rows, as_of()).collect()]
