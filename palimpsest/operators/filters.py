@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,12 +35,15 @@ def row_scope(
     return df.filter(F.col(user_col) == user_id) if limited else df
 
 
-def text_search(df: DataFrame, query: str, *columns: str) -> DataFrame:
-    """Rows where one of the columns holds the text, upper or lower case."""
-    test = F.lit(False)
-    for column in columns:
-        test = test | F.contains(F.lower(column), F.lit(query.lower()))
-    return df.filter(test)
+def text_search(df: DataFrame, query: str, *columns: str, collation: str | None = None) -> DataFrame:
+    """Rows where one of the columns holds the text, upper or lower case, in one pass.
+
+    With ``collation`` (such as ``UNICODE_CI`` or ``UNICODE_CI_AI``) that decides what is equal."""
+    if collation is None:
+        tests = [F.contains(F.lower(column), F.lit(query.lower())) for column in columns]
+    else:
+        tests = [F.contains(F.collate(F.col(column), collation), F.collate(F.lit(query), collation)) for column in columns]
+    return df.filter(reduce(Column.__or__, tests, F.lit(False)))
 
 
 def lookup(df: DataFrame, **key) -> DataFrame:

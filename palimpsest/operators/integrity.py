@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.scratch import stage
+
 
 def unique_violations(df: DataFrame, relation: str, column: str) -> DataFrame:
     """Values that stand in more than one row."""
@@ -50,10 +52,29 @@ def _named(keys: DataFrame, name: str) -> DataFrame:
     return keys.select(F.col("id").alias(name)).distinct()
 
 
-def delete_documents(docs: DataFrame, checks: DataFrame, matches: DataFrame, keys: DataFrame) -> dict[str, DataFrame]:
+def _held(edges: DataFrame, leaving: DataFrame) -> DataFrame:
+    """Ids that an edge ``s -> d`` from a row that stays holds, directly or through others that it holds.
+
+    Each round goes one edge further, and only from the ids found last.
+    """
+    edges = stage(edges, "delete-edges")
+    found = stage(edges.join(leaving.select(F.col("id").alias("s")), "s", "left_anti").select(F.col("d").alias("id")).distinct(), "delete-held")
+    last = found
+    while not last.isEmpty():
+        onward = edges.join(last.select(F.col("id").alias("s")), "s").select(F.col("d").alias("id")).distinct()
+        last = stage(onward.join(found, "id", "left_anti"), "delete-last")
+        found = stage(found.unionByName(last), "delete-held")
+    return found
+
+
+def delete_documents(
+    docs: DataFrame, checks: DataFrame, matches: DataFrame, keys: DataFrame, same_batch: bool = False
+) -> dict[str, DataFrame]:
     """Remove documents with their checks and those checks' matches.
 
-    A document that a match of another document's check points to stays and is reported.
+    A document that a match of another document's check points to stays and is reported.  With
+    ``same_batch`` only checks that stay count: documents that are only referred to by each other's
+    checks go together, and one that stays holds what its checks refer to.
     """
     source = checks.select(F.col("id").alias("check_id"), "source_document_id")
     targets = (
@@ -63,6 +84,12 @@ def delete_documents(docs: DataFrame, checks: DataFrame, matches: DataFrame, key
         .select(F.col("matched_document_id").alias("id")).distinct()
     )
     present = docs.select("id").join(keys.select("id").distinct(), "id", "left_semi")
+    if same_batch:
+        present = stage(present, "delete-present")
+        edges = matches.join(_named(present, "matched_document_id"), "matched_document_id", "left_semi").select(
+            "check_id", F.col("matched_document_id").alias("d")).join(source, "check_id").select(
+            F.col("source_document_id").alias("s"), "d").filter("s <> d").distinct()
+        targets = _held(edges, present)
     blocked = present.join(targets, "id", "left_semi")
     gone = present.join(targets, "id", "left_anti")
     gone_checks = checks.join(_named(gone, "source_document_id"), "source_document_id", "left_semi").select("id")

@@ -83,9 +83,10 @@ def high_risk(checks: DataFrame, threshold: float = 50, limit: int = 10) -> Data
     return found.orderBy(F.desc("overall_similarity"), F.desc("check_date"), F.desc("id")).limit(limit)
 
 
-def sorted_list(df: DataFrame, column: str, descending: bool = False) -> DataFrame:
-    """Binary order; the id splits ranges of equal values."""
-    return df.orderBy(F.desc(column) if descending else F.col(column), "id")
+def sorted_list(df: DataFrame, column: str, descending: bool = False, collation: str | None = None) -> DataFrame:
+    """In binary order, or that of ``collation`` (such as ``UNICODE_CI``); the id splits ranges of equal values."""
+    key = F.col(column) if collation is None else F.collate(F.col(column), collation)
+    return df.orderBy(key.desc() if descending else key.asc(), "id")
 
 
 def completed(checks: DataFrame, user_id: int | None = None) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import ai, fixed
@@ -367,6 +370,40 @@ def unique_violations(m):
     )
 
 
+@query("A9_catalog_keys", with_tables("faculties departments subjects users", " UNION ALL ".join(
+    f"SELECT '{relation}' AS relation, {column} AS value, count(*) AS n FROM (SELECT * FROM {table} UNION ALL SELECT * FROM {table} WHERE id % 3 = 0)"
+    f" GROUP BY {column} HAVING count(*) > 1"
+    for relation, table, column in (
+        ("faculties.code", "faculties", "code"), ("departments.code", "departments", "code"), ("subjects.code", "subjects", "code"),
+        ("users.username", "users", "username"), ("users.email", "users", "email")))))
+def catalog_keys(m):
+    """The unique keys of the catalog, on tables in which every third row stands twice."""
+    parts = []
+    for relation, df in (("faculties.code", m.faculties()), ("departments.code", m.departments()), ("subjects.code", m.subjects()),
+                         ("users.username", m.users()), ("users.email", m.users())):
+        twice = df.unionByName(df.filter("id % 3 = 0"))
+        parts.append(integrity.unique_violations(twice, relation, relation.split(".")[1]))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("J13_same_batch", "WITH RECURSIVE " + with_tables("papers checks matches", """SELECT 'blocked' AS part, count(*) AS n, CAST(coalesce(sum(id), 0) AS bigint) AS sum_id FROM (SELECT DISTINCT id FROM stays)
+    UNION ALL SELECT 'deleted_documents', count(*), CAST(coalesce(sum(id), 0) AS bigint) FROM there WHERE id NOT IN (SELECT id FROM stays)
+    UNION ALL SELECT 'checks', count(*), CAST(coalesce(sum(id), 0) AS bigint) FROM checks WHERE source_document_id NOT IN
+      (SELECT id FROM there WHERE id NOT IN (SELECT id FROM stays))""",
+    wanted="SELECT id FROM papers WHERE id % 8 <> 0", there="SELECT DISTINCT id FROM wanted",
+    edges="""SELECT DISTINCT c.source_document_id AS s, m.matched_document_id AS d FROM matches m JOIN checks c ON c.id = m.check_id
+      WHERE c.source_document_id <> m.matched_document_id AND m.matched_document_id IN (SELECT id FROM there)""",
+    stays="""SELECT d AS id FROM edges WHERE s NOT IN (SELECT id FROM there) UNION
+      SELECT e.d FROM stays b JOIN edges e ON e.s = b.id""").removeprefix("WITH "))
+def delete_same_batch(m):
+    """A document stays only if the check that points to it does."""
+    keys = m.papers().filter("id % 8 <> 0").select("id")
+    left = integrity.delete_documents(m.papers(), m.checks(), m.matches(), keys, same_batch=True)
+    return reduce(DataFrame.unionByName, [
+        left[part].agg(F.count("*").alias("n"), F.coalesce(F.sum("id"), F.lit(0)).cast("long").alias("sum_id"))
+        .withColumn("part", F.lit(part)) for part in ("blocked", "deleted_documents", "checks")])
+
+
 # --- ingest ------------------------------------------------------------------------------------------------
 FILES = """SELECT '/inbox/' || source || '/' || lang || '_doc-' || doc_id || CASE lang WHEN 'en' THEN '.txt' WHEN 'fr' THEN '.TXT'
     WHEN 'de' THEN '.docx' ELSE '.md' END AS path, lang, doc_id, text FROM documents"""

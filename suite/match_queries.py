@@ -114,7 +114,7 @@ def check_documents(m):
     THEN {R2.format('o.matched_words / o.total_words * 100')} ELSE 0 END AS overall
     FROM (SELECT DISTINCT src_id FROM segs) s LEFT JOIN overall o ON o.src_id = s.src_id""", overall=OVERALL))
 def overall_similarity(m):
-    scored = check.scored_segments(m.documents(), bench_corpus(m), exclude_self=False)
+    scored = check.scored_segments(m.documents(), bench_corpus(m), exclude_self=False, min_percent=20.0)
     return check.overall_similarity(scored)
 
 
@@ -132,17 +132,18 @@ def matched_documents(m):
     FROM (SELECT s.src_id, s.pos, s.is_excluded, coalesce({R2.format('b.score_raw')}, 0) AS r FROM segs s
     LEFT JOIN best b ON b.src_id = s.src_id AND b.pos = s.pos) s"""))
 def highlight_segments(m):
-    scored = check.scored_segments(m.documents(), bench_corpus(m), exclude_self=False)
+    scored = check.scored_segments(m.documents(), bench_corpus(m), exclude_self=False, min_percent=15.0)
     return scored.select("src_id", "pos", bands.highlight(F.col("score"), F.col("is_excluded")).alias("display"))
 
 
-@query("J11_resolve_source", bench_sql("""SELECT b.src_id, b.pos, t.first_id AS resolved_id FROM best b
-    JOIN titles t ON t.id = b.matched_id""", titles="""SELECT item_id AS id,
+@query("J11_resolve_source", bench_sql(f"""SELECT b.src_id, b.pos, t.first_id AS resolved_id FROM best b
+    JOIN titles t ON t.id = b.matched_id WHERE {R2.format('b.score_raw')} > 20""", titles="""SELECT item_id AS id,
     min(item_id) OVER (PARTITION BY regexp_extract(text, '^[^ ]+')) AS first_id FROM benchmark"""))
 def resolve_source(m):
     """By title, as far as titles are alike: the first word serves as title here."""
     items = m.raw("benchmark").select(F.col("item_id").alias("id"), F.regexp_extract("text", "^[^ ]+", 0).alias("title"))
-    scored = match.best_match(counted(m.documents()), bench_corpus(m), exclude_self=False)
+    scored = match.best_match(counted(m.documents()), bench_corpus(m), exclude_self=False, min_percent=20.0)
+    scored = scored.filter(check.is_match(text.round2(F.col("score"))))
     return match.resolve_by_title(scored, items).select("src_id", "pos", "resolved_id")
 
 

@@ -63,8 +63,9 @@ def active_only(m):
 @query(
     "F2_optional_filters",
     with_tables(
-        "papers users checks departments",
-        """SELECT 'documents' AS kind, id FROM papers WHERE document_type = 'Thesis' AND subject_id = 3
+        "papers users checks departments subjects",
+        """SELECT 'subjects' AS kind, id FROM subjects WHERE department_id = 3
+        UNION ALL SELECT 'documents' AS kind, id FROM papers WHERE document_type = 'Thesis' AND subject_id = 3
         UNION ALL SELECT 'checks', id FROM checks WHERE user_id = 7
         UNION ALL SELECT 'departments', id FROM departments WHERE faculty_id = 2
         UNION ALL SELECT 'users', id FROM users WHERE role = 'Lecturer'""",
@@ -79,6 +80,7 @@ def optional_filters(m):
         ids("documents", f(m.papers(), user_id=None, document_type="Thesis", subject_id=3))
         .unionByName(ids("checks", f(m.checks(), user_id=7, source_document_id=None)))
         .unionByName(ids("departments", f(m.departments(), faculty_id=2)))
+        .unionByName(ids("subjects", f(m.subjects(), department_id=3)))
         .unionByName(ids("users", f(m.users(), role="Lecturer")))
     )
 
@@ -117,13 +119,19 @@ def row_scope(m):
     "F5_text_search",
     with_tables("papers users", """SELECT p.id, p.title, u.full_name AS user_name FROM papers p
     JOIN users u ON u.id = p.user_id
-    WHERE contains(lower(p.title), 'ring') OR contains(lower(u.full_name), '0042')"""),
+    WHERE contains(lower(p.title), '42') OR contains(lower(u.full_name), '42')"""),
 )
 def text_search(m):
     named = reports.document_list(m.papers(), m.users(), m.subjects())
-    return filters.text_search(named, "RING", "title").unionByName(
-        filters.text_search(named, "0042", "user_name")
-    ).select("id", "title", "user_name").dropDuplicates(["id"])
+    return filters.text_search(named, "42", "title", "user_name").select("id", "title", "user_name")
+
+
+@query(
+    "F5_collated_search",
+    with_tables("papers", "SELECT id, title FROM papers WHERE contains(lower(title), lower('RING'))"),
+)
+def collated_search(m):
+    return filters.text_search(m.papers(), "RinG", "title", collation="UNICODE_CI").select("id", "title")
 
 
 @query(
@@ -139,6 +147,26 @@ def lookup(m):
     return both.select("id", "full_name", "faculty_name", "department_name")
 
 
+@query(
+    "F6_lookup_rows",
+    with_tables("papers departments subjects", """SELECT 'document' AS kind, id, title AS name FROM papers WHERE id = 42
+    UNION ALL SELECT 'department', id, name FROM departments WHERE id = 3
+    UNION ALL SELECT 'department', id, name FROM departments WHERE code = 'D7'
+    UNION ALL SELECT 'subject', id, name FROM subjects WHERE id = 12
+    UNION ALL SELECT 'subject', id, name FROM subjects WHERE code = upper('Brand#21')"""),
+)
+def lookup_rows(m):
+    """By id or code, active or not."""
+    found = [
+        ("document", m.papers().withColumn("name", F.col("title")), {"id": 42}), ("department", m.departments(), {"id": 3}),
+        ("department", m.departments(), {"code": "D7"}), ("subject", m.subjects(), {"id": 12}),
+        ("subject", m.subjects(), {"code": "BRAND#21"}),
+    ]
+    return reduce(DataFrame.unionByName, [
+        filters.lookup(df, **key).select(F.lit(kind).alias("kind"), F.col("id").cast("long").alias("id"), "name")
+        for kind, df, key in found])
+
+
 @query("F7_document_content", "SELECT text AS content FROM documents WHERE doc_id = 5")
 def document_content(m):
     docs = m.raw("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
@@ -345,6 +373,34 @@ def numbered(ordered: DataFrame, name: str) -> DataFrame:
     )
 
 
+@query(
+    "T3_catalog_lists",
+    with_tables("faculties departments subjects", " UNION ALL ".join(
+        f"SELECT '{t}' AS list, CAST(id AS bigint) AS id, name AS entry, row_number() OVER (ORDER BY name, id) AS place FROM {t} WHERE is_active"
+        for t in ("faculties", "departments", "subjects"))),
+)
+def catalog_lists(m):
+    """Sorted without regard to case."""
+    parts = []
+    for name, df in (("faculties", m.faculties()), ("departments", m.departments()), ("subjects", m.subjects())):
+        rows = reports.sorted_list(filters.active_only(df), "name", collation="UNICODE_CI")
+        parts.append(numbered(rows.select("id", F.col("name").alias("entry")), name))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(
+    "history",
+    with_tables("checks papers users", """SELECT c.id, c.check_date, c.status, p.title AS source_title, u.full_name AS user_name FROM (
+      SELECT * FROM checks WHERE user_id = (SELECT max(user_id) FROM checks WHERE user_id % 2 = 1)
+      ORDER BY check_date DESC, id DESC LIMIT 5) c JOIN papers p ON p.id = c.source_document_id JOIN users u ON u.id = c.user_id"""),
+)
+def history_job(m):
+    """The last checks of one user with their names."""
+    user = m.checks().filter("user_id % 2 = 1").agg(F.max("user_id")).first()[0]
+    rows = reports.history(m.checks(), m.papers(), m.users(), user_id=user, limit=5)
+    return rows.select("id", "check_date", "status", "source_title", "user_name")
+
+
 @query(
     "U3_distinct_by",
     with_tables("matches", "SELECT DISTINCT check_id, matched_document_id FROM matches"),

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import fixed
-from palimpsest.operators import changes, integrity, reports
+from palimpsest.operators import changes, filters, integrity, reports
 from palimpsest.sources import ingest, sink
 
 NOW = datetime(2024, 5, 1, 10, 0)
@@ -88,6 +88,13 @@ def test_cascade_and_blocked_documents(spark):
     ids = lambda name, c="id": sorted(r[c] for r in left[name].collect())
     assert ids("blocked") == [3] and ids("documents") == [1, 3] and ids("checks") == [10, 12]
     assert ids("matches", "check_id") == [10, 12]
+    # 1 -> 2 -> 3 and 4 <-> 5: a chain goes as a whole unless its head stays
+    docs = spark.createDataFrame([(i,) for i in range(1, 7)], "id long")
+    checks = spark.createDataFrame([(10, 1), (11, 2), (12, 4), (13, 5)], "id long, source_document_id long")
+    matches = spark.createDataFrame([(10, 2), (11, 3), (12, 5), (13, 4)], "check_id long, matched_document_id long")
+    for named, stay in (([1, 2, 3, 4, 5], []), ([2, 3, 4], [2, 3, 4]), ([2, 3, 4, 5], [2, 3])):
+        left = integrity.delete_documents(docs, checks, matches, spark.createDataFrame([(i,) for i in named], "id long"), same_batch=True)
+        assert ids("blocked") == stay and ids("deleted_documents") == sorted(set(named) - set(stay))
     users = spark.createDataFrame([(1, 5), (2, 6), (3, None)], "id long, faculty_id long")
     faculties = spark.createDataFrame([(5,), (6,)], "id long")
     departments = spark.createDataFrame([(1, 6)], "id long, faculty_id long")
@@ -96,6 +103,16 @@ def test_cascade_and_blocked_documents(spark):
     assert {r.id: r.faculty_id for r in done["users"].collect()} == {1: None, 2: 6, 3: None}
 
 
+def test_collated_lists_and_search(spark):
+    names = ["Đặng Văn", "an", "Ánh", "Bình", "ánh nga", "An"]
+    df = spark.createDataFrame(list(enumerate(names)), "id long, full_name string")
+    got = [r.full_name for r in reports.sorted_list(df, "full_name", collation="UNICODE_CI").collect()]
+    assert got == ["an", "An", "Ánh", "ánh nga", "Bình", "Đặng Văn"]
+    assert [r.full_name for r in reports.sorted_list(df, "full_name").collect()][0] == "An"
+    found = lambda q, c: sorted(r.id for r in filters.text_search(df, q, "full_name", collation=c).collect())
+    assert found("ÁNH", "UNICODE_CI") == [2, 4] and found("anh", "UNICODE_CI_AI") == [2, 4] and found("anh", "UNICODE_CI") == []
+
+
 def test_statistics_of_nothing_are_zero(spark):
     checks = spark.createDataFrame([], "id long, source_document_id long, user_id long, overall_similarity decimal(5,2), status string")
     docs = spark.createDataFrame([], "id long, subject_id int")
