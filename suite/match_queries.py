@@ -87,6 +87,21 @@ def best_match(m):
     return match.best_match(counted(docs), corpus).drop("lid")
 
 
+@query("J6_hot_keys", bench_sql("SELECT src_id, pos, doc_id AS matched_id FROM exact"))
+def hot_containment(m):
+    """Nearly every key counts as hot, so texts are cut out and compared by equality."""
+    segs = counted(m.documents())
+    hits = match.exact_hits(stage(match.distinct_texts(segs), "texts"), bench_corpus(m), hot_df=1)
+    found = segs.select("src_id", "pos", "lid").join(hits, "lid")
+    return found.groupBy("src_id", "pos").agg(F.min("doc_id").alias("matched_id"))
+
+
+@query("J8_hot_grams", bench_sql("SELECT src_id, pos, matched_id, is_exact, CAST(score_raw AS double) AS score FROM best"))
+def hot_best_match(m):
+    """Most shared grams count as hot, so sets are compared by their profiles."""
+    return match.best_match(counted(m.documents()), bench_corpus(m), exclude_self=False, hot_df=2).drop("lid")
+
+
 OVERALL = """SELECT src_id, CAST(sum(CASE WHEN score_raw > 20 THEN n_words ELSE 0 END) AS bigint) AS matched_words,
     CAST(sum(n_words) AS bigint) AS total_words FROM best GROUP BY src_id"""
 OVERALL_OUT = f"""SELECT d.id AS src_id, coalesce(o.matched_words, 0) AS matched_words, coalesce(o.total_words, 0) AS total_words,
