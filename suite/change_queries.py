@@ -490,18 +490,13 @@ def draw(what: str, n: int) -> str:
     return f"(('0x' || substr(md5('42:' || doc_id || ':{what}'), 1, 8))::bigint % {n})"
 
 
-TOPICS = "[" + ", ".join(map(quoted, fixed.TOPICS)) + "]"
-TEMPLATES = "[" + ", ".join(map(quoted, fixed.TEMPLATES)) + "]"
-
-
-@query("S6_generate_corpus", f"""SELECT id, topic || ' - Nhóm ' || grp || ' - K' || cls AS title, content,
-    CASE WHEN id % 3 = 0 THEN 'Thesis' ELSE 'Essay' END AS document_type, length(content) * 2 AS file_size,
-    'HK' || term || '-2024' AS semester, TIMESTAMP '{AS_OF}' - to_days(CAST(age AS int)) AS upload_date FROM (
-      SELECT doc_id AS id, topic, {draw('group', 19)} + 1 AS grp, {draw('class', 6)} + 20 AS cls,
-      {draw('term', 2)} + 1 AS term, {draw('age', 29)} + 1 AS age,
-      replace({TEMPLATES}[{draw('template', 4)} + 1], '{{0}}', lower(topic)) || chr(10)
-      || {quoted(' '.join([fixed.REPEATED_SENTENCE] * 5))} AS content
-      FROM (SELECT doc_id, {TOPICS}[{draw('topic', 8)} + 1] AS topic FROM documents))""")
+@query("S6_generate_corpus", f"""SELECT doc_id AS id,
+    array_to_string(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')[1:5], ' ') AS title, text AS content,
+    CASE WHEN doc_id % 3 = 0 THEN 'Thesis' ELSE 'Essay' END AS document_type, octet_length(encode(text))::bigint AS file_size,
+    'HK' || ({draw('term', 2)} + 1) || '-2024' AS semester,
+    TIMESTAMP '{AS_OF}' - to_days(CAST({draw('age', 29)} + 1 AS int)) AS upload_date
+    FROM documents WHERE regexp_matches(text, '\\S')""")
 def generate_corpus(m):
-    rows = m.raw("documents").select(F.col("doc_id").alias("id"))
-    return ingest.generate_corpus(rows, 42, as_of()).drop("year", "is_public")
+    """Catalog rows for the given texts."""
+    rows = m.raw("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    return ingest.derived_documents(rows, 42, as_of()).drop("year", "is_public")

@@ -168,12 +168,12 @@ def test_pasted_and_generated_documents(spark):
     rows = spark.createDataFrame([(" ", "xin chào"), ("T", "é"), ("U", " \n")], "title string, content string")
     got = [(r.title, r.file_size) for r in ingest.pasted_documents(rows, as_of()).collect()]
     assert got == [("Văn bản dán_20240501_1000", 9), ("T", 2)]
-    made = ingest.generate_corpus(spark.range(60), 7, as_of())
-    rows = made.collect()
-    assert rows == ingest.generate_corpus(spark.range(60), 7, as_of()).collect()
+    texts = spark.range(60).selectExpr("id", "concat('Một  hai ba', id, ' bốn năm sáu') AS content")
+    rows = ingest.derived_documents(texts, 7, as_of()).collect()
+    assert rows == ingest.derived_documents(texts.repartition(7), 7, as_of()).orderBy("id").collect()
     assert {r.document_type for r in rows if r.id % 3 == 0} == {"Thesis"}
-    assert all(1 <= (NOW - r.upload_date).days <= 29 and r.file_size == 2 * len(r.content) for r in rows)
-    assert len({r.title.split(" - ")[0] for r in rows}) == 8
+    assert all(1 <= (NOW - r.upload_date).days <= 29 and r.file_size == len(r.content.encode()) for r in rows)
+    assert rows[4].title == "Một hai ba4 bốn năm"
 
 
 def test_results_are_partitioned_by_period(spark, tmp_path):
