@@ -5,11 +5,10 @@ eight longs; the full minima only serve to form band keys and are not kept.  Nod
 key are candidates, the share of equal low bits, corrected for chance agreement, rejects most of the
 wrong ones, and the rest are confirmed on whole shingle sets.
 
-No group is ever written out as pairs.  In each bucket all nodes are first compared with ``CENTRES`` nodes of
-it, those that come first by a few orders of all nodes; as the orders are the same in every bucket, a group
-of any size is linked by a few pairs a member.  Where several components are left in a bucket this is done
-again with other centres, up to ``TURNS`` times, only between nodes of different components.  What is then
-left is searched by its rarest shingles: two sets as similar as asked share one of the first
+No group is ever written out as pairs.  In each bucket all nodes are first compared with one of it, the first
+by an order of all nodes; as the order is the same in every bucket, a group of any size is linked by hardly
+more pairs than members.  Where several components are left in a bucket this is done again with other
+``CENTRES``, only between nodes of different components.  What is then left is searched by its rarest shingles: two sets as similar as asked share one of the first
 ``|x| - ceil(threshold * |x|) + 1`` shingles of each in any order common to all, here from rare to frequent,
 and the first one they share stands so far in front in both that what follows can still suffice.  Documents
 that only share a template, a passage or a boilerplate do not meet there.  Only nodes of different components
@@ -37,7 +36,7 @@ from palimpsest.scratch import stage
 MINIMA, ROWS, BITS = 128, 4, 4
 BANDS, LANES = MINIMA // ROWS, 64 // BITS
 SLACK = 0.2
-CENTRES, TURNS = 3, 5
+CENTRES = (1, 4, 4)  # nodes of a bucket with which the others are compared, turn by turn
 CELLS = 1 << 20
 BATCH = 2 << 20  # bytes of text in a task at once
 _seeds = np.random.default_rng(20240607)
@@ -215,9 +214,20 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def absorbed(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, root`` of all nodes after new ``links`` (a, b): only the components that they join are worked on."""
+    if links.isEmpty():
+        return roots
+    one = roots.select(F.col("node").alias("a"), F.col("root").alias("one"))
+    two = roots.select(F.col("node").alias("b"), F.col("root").alias("two"))
+    between = links.join(one, "a").join(two, "b").filter("one <> two").select(F.col("one").alias("a"), F.col("two").alias("b"))
+    joined = components(between.distinct()).select(F.col("node").alias("root"), F.col("root").alias("new"))
+    return stage(roots.join(joined, "root", "left").select("node", F.coalesce("new", "root").alias("root")), "minhash-roots")
+
+
 def still_open(crowded: DataFrame, roots: DataFrame) -> DataFrame:
     """``band, key, node, root`` of the buckets that hold several components."""
-    members = crowded.select("band", "key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = crowded.select("band", "key", "node").join(roots, "node")
     mixed = members.groupBy("band", "key").agg(F.min("root").alias("least"), F.max("root").alias("most"))
     return stage(members.join(mixed.filter("least <> most").select("band", "key"), ["band", "key"]), "minhash-open")
 
@@ -260,23 +270,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, doc_id: s
     likely = f"{estimate('one', 'two')} >= {percent / 100 - SLACK}D"
     sets = shingles_of(crowded, texts, nodes, size)
 
-    links = stage(same, "minhash-links")
-    roots = components(links)
-    open_ = crowded.withColumn("root", F.col("node")) if links.isEmpty() else still_open(crowded, roots)
-    for turn in range(TURNS):
-        orders = [F.xxhash64("node", F.lit(turn * CENTRES + i)) for i in range(CENTRES)]
+    roots = absorbed(nodes.select("node", F.col("node").alias("root")), stage(same, "minhash-links"))
+    open_ = still_open(crowded, roots)
+    for turn, n in enumerate(CENTRES):
+        orders = [F.xxhash64("node", F.lit(turn), F.lit(i)) for i in range(n)]
         centres = open_.groupBy("band", "key").agg(
             *[F.min_by(F.struct("node", "root"), order).alias(f"centre{i}") for i, order in enumerate(orders)])
         pairs = open_.join(centres, ["band", "key"]).select(
-            "node", "root", F.explode(F.array(*[f"centre{i}" for i in range(CENTRES)])).alias("centre"))
+            "node", "root", F.explode(F.array(*[f"centre{i}" for i in range(n)])).alias("centre"))
         stars = pairs.filter("root <> centre.root").select(
             F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b")).distinct()
         stars = stage(stars.join(first, "a").join(second, "b").filter(likely).select("a", "b"), "minhash-stars")
-        more = stage(confirmed(stars, sets, percent), "minhash-more")
-        if more.isEmpty():
+        links = stage(confirmed(stars, sets, percent), "minhash-links")
+        if links.isEmpty():
             break
-        links = links.union(more)
-        roots = components(links)
+        roots = absorbed(roots, links)
         open_ = still_open(crowded, roots)
 
     open_ = stage(open_.select("node", "root").distinct(), "minhash-nodes")
@@ -301,12 +309,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, doc_id: s
         f" AND {estimate('x_signature', 'signature')} >= {percent / 100 - SLACK}D")
     cross = stage(cross.select(F.least("x_node", "node").alias("a"), F.greatest("x_node", "node").alias("b")).distinct(),
                   "minhash-cross")
-    more = stage(confirmed(cross, sets, percent), "minhash-more")
-    if not more.isEmpty():
-        roots = components(links.union(more))
+    roots = absorbed(roots, stage(confirmed(cross, sets, percent), "minhash-links"))
 
-    rooted = rows.select("rid", "node", "least_id").join(roots, "node", "left").withColumn(
-        "root", F.coalesce("root", "node"))
+    rooted = rows.select("rid", "node", "least_id").join(roots, "node")
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = rooted.join(least, "root").select("rid", "component_id")
     out = digest.select("rid", "doc_id", "n_shingles").join(named, "rid", "left")
