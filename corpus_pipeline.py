@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences.
 
 Five stages, each over all rows that the one before kept.  Every stage but the last returns the columns
-of ``documents``.  Between stages the rows are written as Parquet and read again.
+of ``documents``, further columns included.  Between stages the rows are written as Parquet and read again.
+In all stages texts are worked on whole, however long, and an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -16,27 +17,48 @@ from palimpsest.sources.tables import read_table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves out texts whose language cannot be told; without any label, only those without a letter."""
+    """Leaves out texts in none of the languages that the labelled rows teach.
+
+    These are null and empty texts, texts without a letter, and texts of 50 letters or more whose likelihood
+    a letter is below that of evenly drawn letters.  Without any label only those without a letter go.
+    Repeated rows share their fate; a tie between languages decides nothing.
+    """
     return pieces.speaking(docs, pieces.train(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group."""
+    """Keeps the document with the smallest id of each group of near duplicates.
+
+    Null texts and texts without a word are in no group and stay.  Repeated rows of one id become one (of
+    different texts the one that sorts first).  Rows without an id stay once for each text.
+    """
     return minhash.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages that stand in a document with a smaller id; leaves out what is then empty."""
+    """Cuts passages of 13 words or more that also stand in a document with a smaller id.
+
+    A document all of whose words are cut is left out; null texts and texts without a word stay as they are.
+    Passages that only repeat within one document or between rows of one id are left alone.  ``n_chars``
+    follows the new text.
+    """
     return anchors.cut(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves out documents in which a window of the benchmark stands."""
+    """Leaves out documents in which a window of ten words of a benchmark item stands (a shorter item: all of it).
+
+    Null texts and texts without a word stay, and so does everything when the benchmark is empty.
+    """
     return setjoin.clean(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of the permitted lengths."""
+    """Packs what is left into sequences of the permitted lengths; one row per piece of a document.
+
+    A null or empty text is its end mark alone, one token.  Repeated rows are packed each by itself.  Pieces
+    of equal length go in order of their rows, so which bin they share follows the layout of the table.
+    """
     return binpack.pack_documents(docs)
 
 
@@ -58,7 +80,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Trained language models and greedy packing are beyond SQL; the tests check properties of the result.
+#: Trained language models and greedy packing are beyond SQL; tests/llm/test_pipeline.py has a plain Python version.
 ORACLE_SQL = None
 QUERIES = {"pipeline": run}
 ORACLES: dict[str, str] = {}

@@ -29,6 +29,10 @@ MARK = "▁"
 BASE = U(0x9E3779B97F4A7C15)
 CACHE = 200_000
 UNKNOWN = "und"
+#: Natural log of the probability of a letter below which a text is in no learned language: that of letters drawn
+#: evenly from an alphabet of 26.  Texts of the learned languages lie near -1.5; shorter ones than ENOUGH stay.
+FLOOR = -3.26
+ENOUGH = 50
 
 
 def words_of(text: str, step: int = 1 << 20) -> Iterator[list[str]]:
@@ -172,6 +176,15 @@ class Model:
         best = int(total.argmax())
         return self.languages[best], float(1 / np.exp(total - total[best]).sum())
 
+    def spoken(self, text: str | None, floor: float, enough: int) -> bool:
+        """Whether the text has letters that some learned language makes likely enough."""
+        total, letters = np.zeros(len(self.languages)), 0
+        for words in words_of(text or ""):
+            if words:
+                total += self.score(words)
+                letters += sum(map(len, words)) + len(words)
+        return letters > 0 and (letters < enough or float(total.max()) >= floor * letters)
+
     def warm(self, texts: list[str | None]) -> None:
         """Score the words of several short texts at once."""
         if not self.languages:
@@ -273,16 +286,30 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
         "doc_id", F.col("p.lang").alias("lang_pred"), "p.score")
 
 
-def speaking(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose language can be told.
+def speaking(docs: DataFrame, model: Model, text: str = "text", floor: float = FLOOR, enough: int = ENOUGH) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are in one of the learned languages.
 
-    When nothing was learned, every text with a letter stays: that no row has a label says nothing of it.
+    Out go null texts, those without a letter, and those of ``enough`` letters or more (a word counts one
+    more than it has) whose log-probability in the language that suits them best is below ``floor`` a letter:
+    other scripts, and letters without an order.  When nothing was learned, every text with a letter stays:
+    that no row has a label says nothing of it.  A text is scored whole, however long; repeated rows share
+    their fate; an empty table stays empty.
     """
     if not model.languages:
         return docs.filter(F.col(text).cast("string").rlike(r"\p{L}"))
-    found = predictor(Shared(docs.sparkSession, model))(F.col(text).cast("string").cast("binary"))
-    marked = docs.select(F.struct("*").alias("row"), found.alias("p"))
-    return marked.filter(F.col("p.lang") != UNKNOWN).select("row.*")
+    shared = Shared(docs.sparkSession, model)
+
+    @F.arrow_udf("boolean")
+    def spoken(column: pa.Array) -> pa.Array:
+        rows = []
+        for part in slices(column, 2 << 20):
+            texts = [None if v is None else v.decode("utf-8", "replace") for v in part.to_pylist()]
+            shared.value.warm(texts)
+            rows.extend(shared.value.spoken(t, floor, enough) for t in texts)
+        return pa.array(rows, pa.bool_())
+
+    marked = docs.select(F.struct("*").alias("row"), spoken(F.col(text).cast("string").cast("binary")).alias("stays"))
+    return marked.filter("stays").select("row.*")
 
 
 def op6(docs: DataFrame) -> DataFrame:
