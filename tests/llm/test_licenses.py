@@ -1,6 +1,7 @@
 """The keyword gate of the license scan passes every rule that matches."""
 
 import itertools
+import random
 import re
 from re import _parser as regex
 
@@ -62,3 +63,40 @@ def test_rules_without_keywords_always_run():
     assert scanner.scan(b"zz x")["labels"] == "any"
     assert scanner.scan(b"a second grant")["labels"] == "either"
     assert scanner.gate(" a third grant ") == [0]
+
+
+def plain_scan(text, rules):
+    """Labels and score by every rule on every text, and every detection against every other."""
+    raw = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text).encode()
+    words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", raw)
+    flat = " " + " ".join(w.decode("latin-1") for w in words) + " "
+    found = set()
+    for number, rule in enumerate(rules):
+        for match in re.finditer(f"(?<= ){rule.pattern}(?= )", flat):
+            start = flat[: match.start()].count(" ") - 1
+            found.add((start, start + 1 + match.group().count(" "), rule.priority, number))
+
+    def first(a, b):  # the order in which equal intervals are settled
+        return (-a[2], a[3]) < (-b[2], b[3])
+
+    def loses(a):
+        return any(b != a and b[0] <= a[0] and b[1] >= a[1] and b[2] >= a[2] and ((b[0], b[1]) != (a[0], a[1]) or first(b, a)) for b in found)
+
+    left = [d for d in found if not loses(d)]
+    base = [label for phrase, label in licenses.BASE.items() if f" {phrase} " in flat]
+    labels = ",".join(sorted({rules[d[3]].label for d in left} | set(base)))
+    return labels, max([rules[d[3]].weight for d in left] + [0.6] * bool(base), default=0.0)
+
+
+def test_labels_and_score_equal_a_plain_scan():
+    rules = licenses.hand_written()
+    scanner, rng = licenses.Scanner(rules), random.Random(4)
+    lines = [spelled(regex.parse(rng.choice(rules).pattern))[0] for _ in range(60)] + list(licenses.BASE)
+    filler = ["The software is provided", "copyright (c) 2020 by them", "é ü 12-7", "licensed under the", "\n\n", "GNU, General; Public"]
+    texts = ["", "12 !"] + [" ".join(rng.choice(lines if rng.random() < 0.5 else filler) for _ in range(rng.randrange(1, 12))) for _ in range(150)]
+    told = 0
+    for text in texts:
+        got = scanner.scan(text.encode())
+        assert (got["labels"], got["score"]) == plain_scan(text, rules), text
+        told += bool(got["labels"])
+    assert told > 100
