@@ -226,8 +226,8 @@ def absorbed(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def still_open(crowded: DataFrame, roots: DataFrame) -> DataFrame:
-    """``band, key, node, root`` of the buckets that hold several components."""
-    members = crowded.select("band", "key", "node").join(roots, "node")
+    """``band, key, node, signature, root`` of the buckets that hold several components."""
+    members = crowded.select("band", "key", "node", "signature").join(roots, "node")
     mixed = members.groupBy("band", "key").agg(F.min("root").alias("least"), F.max("root").alias("most"))
     return stage(members.join(mixed.filter("least <> most").select("band", "key"), ["band", "key"]), "minhash-open")
 
@@ -263,11 +263,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, doc_id: s
 
     entries = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     buckets = entries.groupBy("band", "key").agg(F.count("*").alias("held")).filter("held > 1")
-    crowded = stage(entries.join(buckets.select("band", "key"), ["band", "key"]), "minhash-crowded")
     signed = nodes.select("node", "signature")
-    first = signed.select(F.col("node").alias("a"), F.col("signature").alias("one"))
-    second = signed.select(F.col("node").alias("b"), F.col("signature").alias("two"))
-    likely = f"{estimate('one', 'two')} >= {percent / 100 - SLACK}D"
+    # few nodes are in such buckets; from here on they carry their signatures
+    crowded = stage(entries.join(buckets.select("band", "key"), ["band", "key"]).join(signed, "node"), "minhash-crowded")
     sets = shingles_of(crowded, texts, nodes, size)
 
     roots = absorbed(nodes.select("node", F.col("node").alias("root")), stage(same, "minhash-links"))
@@ -275,12 +273,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, doc_id: s
     for turn, n in enumerate(CENTRES):
         orders = [F.xxhash64("node", F.lit(turn), F.lit(i)) for i in range(n)]
         centres = open_.groupBy("band", "key").agg(
-            *[F.min_by(F.struct("node", "root"), order).alias(f"centre{i}") for i, order in enumerate(orders)])
+            *[F.min_by(F.struct("node", "root", "signature"), order).alias(f"centre{i}") for i, order in enumerate(orders)])
         pairs = open_.join(centres, ["band", "key"]).select(
-            "node", "root", F.explode(F.array(*[f"centre{i}" for i in range(n)])).alias("centre"))
-        stars = pairs.filter("root <> centre.root").select(
-            F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b")).distinct()
-        stars = stage(stars.join(first, "a").join(second, "b").filter(likely).select("a", "b"), "minhash-stars")
+            "node", "root", "signature", F.explode(F.array(*[f"centre{i}" for i in range(n)])).alias("centre"))
+        likely = f"{estimate('signature', 'centre.signature')} >= {percent / 100 - SLACK}D"
+        stars = pairs.filter(f"root <> centre.root AND {likely}").select(
+            F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b"))
+        stars = stage(stars.distinct(), "minhash-stars")
         links = stage(confirmed(stars, sets, percent), "minhash-links")
         if links.isEmpty():
             break
@@ -307,8 +306,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, doc_id: s
         f" AND 100 * least(x_size, size) >= {percent} * greatest(x_size, size)"
         f" AND {100 + percent} * least(x_size - x_place, size - place) >= {percent} * (x_size + size)"
         f" AND {estimate('x_signature', 'signature')} >= {percent / 100 - SLACK}D")
-    cross = stage(cross.select(F.least("x_node", "node").alias("a"), F.greatest("x_node", "node").alias("b")).distinct(),
-                  "minhash-cross")
+    cross = cross.select(F.least("x_node", "node").alias("a"), F.greatest("x_node", "node").alias("b"))
+    cross = stage(cross.distinct(), "minhash-cross")
     roots = absorbed(roots, stage(confirmed(cross, sets, percent), "minhash-links"))
 
     rooted = rows.select("rid", "node", "least_id").join(roots, "node")
