@@ -51,12 +51,13 @@ def with_parent_name(rows: DataFrame, parents: DataFrame, key: str, name: str) -
 
 
 def check_detail(
-    checks: DataFrame, docs: DataFrame, users: DataFrame, matches: DataFrame
+    checks: DataFrame, docs: DataFrame, users: DataFrame, matches: DataFrame, ordered: bool = True
 ) -> tuple[DataFrame, DataFrame]:
     """One header row per check, and one row per match of these checks with its title, ordered by ``pos``.
 
     Nothing is nested, so a check may have any number of matches at any position; one without
-    matches has its header only.  A stored machine-text result is parsed into ``ai_analysis``.
+    matches has its header only.  A stored machine-text result is parsed into ``ai_analysis``.  What
+    works on with the matches takes them unordered, without the sort of the whole table.
     """
     head = check_history(checks, docs, users)
     if "ai_detection_json" in checks.columns:
@@ -69,7 +70,7 @@ def check_detail(
         "check_id", "pos", "matched_document_id", "matched_title", "matched_text", "start_position",
         "end_position", "similarity_score",
     )
-    return head, rows.orderBy("check_id", "pos", "matched_document_id")
+    return head, rows.orderBy("check_id", "pos", "matched_document_id") if ordered else rows
 
 
 def history_top_n(checks: DataFrame, limit: int | None = None) -> DataFrame:

@@ -265,7 +265,7 @@ def catalog_list(m):
       FROM matches m JOIN papers d ON d.id = m.matched_document_id GROUP BY m.check_id"""),
 )
 def check_detail(m):
-    head, rows = reports.check_detail(m.checks(), m.papers(), m.users(), m.matches())
+    head, rows = reports.check_detail(m.checks(), m.papers(), m.users(), m.matches(), ordered=False)
     entry = F.struct("pos", "matched_document_id", "matched_title", "matched_text")
     nested = rows.groupBy(F.col("check_id").alias("id")).agg(F.sort_array(F.collect_list(entry)).alias("matches"))
     told = F.transform(
@@ -327,6 +327,45 @@ def entity_counts(m):
     return reports.entity_counts(m.papers(), m.users(), m.faculties(), m.subjects())
 
 
+@query(
+    "J5_match_rows",
+    with_tables("checks papers users matches", """SELECT m.check_id, m.pos, m.matched_document_id, d.title AS matched_title, m.matched_text
+    FROM matches m JOIN papers d ON d.id = m.matched_document_id WHERE m.check_id IN (
+      SELECT c.id FROM checks c JOIN papers p ON p.id = c.source_document_id JOIN users u ON u.id = c.user_id)"""),
+)
+def match_rows(m):
+    _, rows = reports.check_detail(m.checks(), m.papers(), m.users(), m.matches(), ordered=False)
+    return rows.select("check_id", "pos", "matched_document_id", "matched_title", "matched_text")
+
+
+@query(
+    "statistics",
+    with_tables("checks papers users faculties subjects", """SELECT 'summary' AS part, 'total_checks' AS entry, count(*) AS n,
+      round(CAST(coalesce(avg(overall_similarity), 0) AS double), 4) AS value FROM checks WHERE status = 'Completed' AND user_id = 7
+    UNION ALL SELECT 'summary', 'high_risk', count(*) FILTER (WHERE overall_similarity > 30), 0 FROM checks WHERE status = 'Completed' AND user_id = 7
+    UNION ALL SELECT 'entities', 'total_documents', count(*) FILTER (WHERE is_active), 0 FROM papers
+    UNION ALL SELECT 'entities', 'total_students', count(*) FILTER (WHERE role = 'Student'), 0 FROM users
+    UNION ALL SELECT 'subjects', s.name, count(*), round(CAST(avg(c.overall_similarity) AS double), 4) FROM checks c
+      JOIN papers d ON d.id = c.source_document_id JOIN subjects s ON s.id = d.subject_id
+      WHERE c.status = 'Completed' AND c.user_id = 7 GROUP BY s.name"""),
+)
+def statistics(m):
+    """The statistics page of one user as rows."""
+    parts = reports.statistics(m.checks(), m.papers(), m.users(), m.faculties(), m.subjects(), user_id=7)
+
+    def told(part, entry, n, value):
+        return parts[part].select(F.lit(part).alias("part"), entry.alias("entry"), F.col(n).alias("n"), value.alias("value"))
+
+    none = F.lit(0.0)
+    return reduce(DataFrame.unionByName, [
+        told("summary", F.lit("total_checks"), "total_checks", F.col("average_similarity")),
+        told("summary", F.lit("high_risk"), "high_risk", none),
+        told("entities", F.lit("total_documents"), "total_documents", none),
+        told("entities", F.lit("total_students"), "total_students", none),
+        told("subjects", F.col("subject_name"), "document_count", F.col("average_similarity")),
+    ])
+
+
 @query(
     "T1_history_top_n",
     with_tables("checks", "SELECT id, check_date, status FROM checks ORDER BY check_date DESC, id DESC LIMIT 20"),
