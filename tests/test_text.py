@@ -134,3 +134,14 @@ def test_quality_of_a_structured_text(spark):
     assert (empty.format_score, empty.content_score, empty.quality_score, empty.quality_level) == (0, 0, 0.0, "Kém")
     assert len(empty.issues) == 7 and empty.suggestions[0].startswith("🔴 Ưu tiên: Khắc phục 3 ")
     assert empty.key_phrases == []
+
+
+def test_words_of_a_document_are_dealt_once(spark):
+    """Texts are shuffled by document and never as rows of words; rows of one id count together."""
+    from palimpsest.plans import quality
+
+    docs = spark.createDataFrame([(1, "a b b c"), (1, "c c"), (2, "x"), (None, "y y")], "id long, content string")
+    rows = quality.key_phrase_rows(docs, k=1)
+    assert {(r.doc_id, r.word, r.n, r.first_at) for r in rows.collect()} == {(1, "c", 3, 0), (2, "x", 1, 0), (None, "y", 2, 0)}
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
