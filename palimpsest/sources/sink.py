@@ -27,7 +27,8 @@ def append_new(rows: DataFrame, path: str, keys: Sequence[str], period: Column)
     if stored(spark, path):
         placed = stage(placed, "sink")
         periods = [r["period"] for r in placed.select("period").distinct().collect()]  # of one batch: few
-        known = spark.read.parquet(path).filter(F.col("period").isin(periods)).select(*keys)
+        # With the schema, as an earlier batch without rows may have left the folder without files.
+        known = spark.read.schema(placed.schema).parquet(path).filter(F.col("period").isin(periods)).select(*keys)
         placed = placed.join(known, list(keys), "left_anti")
     placed.hint("rebalance", "period").write.mode("append").partitionBy("period").parquet(path)
 

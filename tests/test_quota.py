@@ -248,3 +248,11 @@ def test_a_time_in_the_future_drops_no_other_key(spark, tmp_path):
     streams.upload_dedup_stream(arriving(spark, str(tmp_path / "in"), frame.schema), str(tmp_path / "u")).awaitTermination()
     got = {r.id: r.anchor_id for r in streams.read_results(spark, str(tmp_path / "u")).collect()}
     assert got == folded(rows)
+
+
+def test_results_after_a_batch_without_matches(spark, tmp_path):
+    """The folder of the matches is there, but holds no file to read a schema from."""
+    (tmp_path / "matches").mkdir()
+    rows = spark.createDataFrame([(1, 0, DAY)], "check_id long, pos int, check_date timestamp_ntz")
+    sink.append_new(rows, str(tmp_path / "matches"), ["check_id", "pos"], F.to_date("check_date"))
+    assert spark.read.parquet(str(tmp_path / "matches")).count() == 1
