@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text
-from palimpsest.operators.copies import text_key
+from palimpsest.operators.copies import numbered, text_key
 from palimpsest.operators.setsim import HOT_DF, topk_jaccard
 from palimpsest.scratch import stage
 
@@ -44,18 +44,23 @@ def sentence_match(
     left = sentence_offsets(plain_sentences(sources, id_col, text_col)).withColumn(
         "clean", text.normalize(F.col("sentence"))
     )
-    left = stage(left.withColumn("lid", text_key(F.col("clean"))), "sentences")
+    left = stage(left.drop("sentence"), "sentences").withColumn("lid", text_key(F.col("clean")))
     right = plain_sentences(compare, id_col, text_col).select(
         F.struct("doc_id", "pos").alias("at"), text.normalize(F.col("sentence")).alias("clean")
     )
     # Of equal sentences the first one is the one that would be found.
     right = right.groupBy("clean").agg(F.min("at").alias("rid"))
     texts = left.groupBy("lid").agg(F.first("clean").alias("clean"))
+    tokens = text.tokenize(F.col("clean"))
+    texts, right = texts.withColumn("tokens", tokens), right.withColumn("tokens", tokens)
+    grams = text.gram_keys(F.col("tokens"), 3).alias("grams")
+    sets = stage(numbered(texts.select("lid", grams)), "sentence-left")
     found = topk_jaccard(
-        stage(texts.select("lid", text.ngrams(F.col("clean"), 3).alias("grams")), "sentence-left"),
-        stage(right.select("rid", text.ngrams(F.col("clean"), 3).alias("grams")), "sentence-right"),
+        sets.select(F.col("nid").alias("lid"), "grams"),
+        stage(right.select("rid", grams), "sentence-right"),
         1, min_percent, order="first", hot_df=hot_df, tag="sentence",
     )
+    found = found.withColumnRenamed("lid", "nid").join(sets.select("nid", "lid"), "nid")
     return left.join(found, "lid").select(
         "doc_id", "pos", "start_position", "end_position",
         F.col("rid.doc_id").alias("compare_id"), F.col("rid.pos").alias("compare_pos"), "score",
