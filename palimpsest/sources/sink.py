@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,17 +20,22 @@ def append_new(rows: DataFrame, path: str, keys: Sequence[str], period: Column)
     """Append the rows whose ``keys`` are not stored yet, partitioned by ``period``.
 
     A key's period never changes, so only the stored keys of the periods at hand are read.  Rows that share
-    a key are stored together.  The rebalance step gathers a period's rows, so that it is not written as
+    a key are stored together.  Only the keys are compared with what is stored, the whole rows meet no more
+    than the keys found new; a batch that brings none writes nothing.  The rebalance step gathers a period's rows, so that it is not written as
     one small file per task, and splits a period that holds most of them.
     """
     spark = rows.sparkSession
     placed = rows.withColumn("period", period)
     if stored(spark, path):
-        placed = stage(placed, "sink")
-        periods = [r["period"] for r in placed.select("period").distinct().collect()]  # of one batch: few
+        asked = stage(placed.select(*keys, "period"), "sink-keys")
+        periods = [r["period"] for r in asked.select("period").distinct().collect()]  # of one batch: few
         # With the schema, as an earlier batch without rows may have left the folder without files.
         known = spark.read.schema(placed.schema).parquet(path).filter(F.col("period").isin(periods)).select(*keys)
-        placed = placed.join(known, list(keys), "left_anti")
+        new = stage(asked.select(*keys).join(known, list(keys), "left_anti").distinct(), "sink-new")
+        if new.isEmpty():
+            return
+        same = reduce(Column.__and__, [placed[key].eqNullSafe(new[key]) for key in keys])
+        placed = placed.join(new, same, "left_semi")
     placed.hint("rebalance", "period").write.mode("append").partitionBy("period").parquet(path)
 
 

@@ -256,3 +256,21 @@ def test_results_after_a_batch_without_matches(spark, tmp_path):
     rows = spark.createDataFrame([(1, 0, DAY)], "check_id long, pos int, check_date timestamp_ntz")
     sink.append_new(rows, str(tmp_path / "matches"), ["check_id", "pos"], F.to_date("check_date"))
     assert spark.read.parquet(str(tmp_path / "matches")).count() == 1
+
+
+def test_a_repeated_write_moves_keys_only(spark, tmp_path):
+    """The rows themselves are neither staged nor compared, and a row without a key is added as before."""
+    from pathlib import Path
+
+    from palimpsest.scratch import shared_dir
+
+    staged = lambda: set(Path(shared_dir(spark), "palimpsest").glob("sink-*"))
+    before, path = staged(), str(tmp_path / "m")
+    rows = spark.createDataFrame([(1, 0, "a", DAY), (1, 1, "b", DAY), (None, 0, "c", DAY)],
+                                 "check_id long, pos int, matched_text string, check_date timestamp_ntz")
+    sink.append_new(rows.filter("check_id = 1 AND pos = 0"), path, ["check_id", "pos"], F.to_date("check_date"))
+    for _ in range(2):
+        sink.append_new(rows, path, ["check_id", "pos"], F.to_date("check_date"))
+    assert sorted(r.matched_text for r in spark.read.parquet(path).collect()) == ["a", "b", "c", "c"]
+    made = staged() - before
+    assert made and not any("matched_text" in spark.read.parquet(str(p)).columns for p in made if list(p.glob("*.parquet")))
