@@ -50,6 +50,7 @@ def _append(rows: DataFrame, folder: str, trigger: dict | None) -> StreamingQuer
         conf.set(NO_DATA, before)
 
 
+ASKED = ("request_id", "user_id", "document_id", "role", "limit")
 QUOTA = ("request_id bigint, user_id bigint, document_id bigint, ts timestamp_ntz, day date, accepted boolean,"
          " remaining bigint, reason string")
 
@@ -59,28 +60,36 @@ def _quota_of_user(linger_ms: int) -> Callable:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(frames)).sort_values(["ts", "request_id"], kind="stable", ignore_index=True)
-        rows["day"] = rows["ts"].dt.date
-        known, named = rows["has_document"].notna().to_numpy(), rows["role"].notna().to_numpy()
-        valid = known & named
+        # Plain arrays: a user has few rows in a micro-batch, and there are many users.
+        found = list(frames)
+        frame = found[0] if len(found) == 1 else pd.concat(found, ignore_index=True)
+        at = frame["ts"].to_numpy().astype("datetime64[us]")
+        order = np.lexsort((frame["request_id"].to_numpy(), at))
+        at, rows = at[order], {name: frame[name].to_numpy()[order] for name in ASKED}
+        days = at.astype("datetime64[D]")
+        timed = int(np.count_nonzero(~np.isnat(days)))  # rows without a time sort last, use nothing up
         held_day, held = state.get if state.exists else (None, 0)
-        used = np.zeros(len(rows), np.int64)
-        for day, at in rows.groupby("day", sort=True).indices.items():
-            used[at] = np.cumsum(valid[at]) + (held if held_day is not None and held_day >= day else 0)
-        limit = rows["limit"].fillna(0).to_numpy(np.int64)
-        free = (rows["role"] != "Student").to_numpy() | (used <= limit)
-        accepted = valid & free
-        if valid.any():
-            last = rows["day"].max()
-            if held_day is not None and held_day >= last:
-                state.update((held_day, held + int(accepted.sum())))
+        before = np.datetime64(held_day, "D") if held_day is not None else None
+        used = np.zeros(len(at), np.int64)
+        begin = 0
+        while begin < timed:
+            end = int(np.searchsorted(days[:timed], days[begin], side="right"))
+            used[begin:end] = np.arange(1, end - begin + 1) + (held if before is not None and before >= days[begin] else 0)
+            begin = end
+        limit = np.nan_to_num(rows["limit"]).astype(np.int64)
+        accepted = (rows["role"] != "Student") | (used <= limit)
+        if timed:
+            last = days[timed - 1]
+            if before is not None and before >= last:
+                state.update((held_day, held + int(accepted[:timed].sum())))
             else:
-                state.update((last, int(accepted[(rows["day"] == last).to_numpy()].sum())))
+                state.update((last.item(), int(accepted[:timed][days[:timed] == last].sum())))
             state.setTimeoutDuration(linger_ms)
-        spent = [fixed.QUOTA_SPENT % n for n in limit.tolist()]
-        reason = np.select([~known, ~named, ~free], [fixed.NO_DOCUMENT, fixed.NO_USER, np.array(spent, object)], None)
-        yield rows[["request_id", "user_id", "document_id", "ts", "day"]].assign(
-            accepted=accepted, remaining=pd.Series(limit - used).where(accepted).astype("Int64"), reason=reason)
+        spent = [None if free else fixed.QUOTA_SPENT % n for free, n in zip(accepted.tolist(), limit.tolist())]
+        yield pd.DataFrame({
+            "request_id": rows["request_id"], "user_id": rows["user_id"], "document_id": rows["document_id"], "ts": at,
+            "day": [None if pd.isnull(day) else day for day in days.tolist()], "accepted": accepted,
+            "remaining": pd.arrays.IntegerArray(limit - used, ~accepted), "reason": np.array(spent, object)})
 
     return fold
 
@@ -96,17 +105,21 @@ def quota_stream(
     there is only one counter.  A user's state goes ``linger_hours`` after the last valid request, when its
     day is over; it must be more than a day plus the time by which the stream may lag behind.
     The rows of one user in one micro-batch are held in memory together, so the source's limit of a
-    micro-batch bounds them.  Requests of unknown users or documents need no state and are spread.
+    micro-batch bounds them.  Requests of unknown users or documents need no state and don't go through it.
     """
     people = users.select(F.col("id").alias("user_id"), "role", F.col("daily_check_limit").cast("long").alias("limit"))
     known = docs.select(F.col("id").alias("document_id"), F.lit(True).alias("has_document"))
     rows = requests.join(known, "document_id", "left").join(people, "user_id", "left")
+    rows = rows.select("request_id", "user_id", "document_id", "ts", "has_document", "role", "limit")
     valid = F.col("has_document").isNotNull() & F.col("role").isNotNull()
-    rows = rows.withColumn("part", F.when(valid, 0).otherwise(F.pmod(F.xxhash64("request_id"), F.lit(SPREAD)) + 1).cast("int"))
-    rows = rows.select("request_id", "user_id", "document_id", "ts", "has_document", "role", "limit", "part")
-    out = rows.groupBy("user_id", "part").applyInPandasWithState(
+    counted = rows.filter(valid).drop("has_document").groupBy("user_id").applyInPandasWithState(
         _quota_of_user(int(linger_hours * HOUR_MS)), QUOTA, "day date, used bigint", "append",
         GroupStateTimeout.ProcessingTimeTimeout)
+    refused = rows.filter(~valid).select(
+        "request_id", "user_id", "document_id", "ts", F.to_date("ts").alias("day"), F.lit(False).alias("accepted"),
+        F.lit(None).cast("bigint").alias("remaining"),
+        F.when(F.col("has_document").isNull(), fixed.NO_DOCUMENT).otherwise(fixed.NO_USER).alias("reason"))
+    out = counted.unionByName(refused)
     return _append(out, folder, trigger)
 
 

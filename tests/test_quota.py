@@ -274,3 +274,33 @@ def test_a_repeated_write_moves_keys_only(spark, tmp_path):
     assert sorted(r.matched_text for r in spark.read.parquet(path).collect()) == ["a", "b", "c", "c"]
     made = staged() - before
     assert made and not any("matched_text" in spark.read.parquet(str(p)).columns for p in made if list(p.glob("*.parquet")))
+
+
+def test_quota_of_a_user_is_folded_by_day():
+    """A batch that goes back before the stored day counts on the stored one."""
+    at = lambda day, minute: pd.Timestamp(DAY) + pd.Timedelta(days=day, minutes=minute)
+    fold, held = streams._quota_of_user(1000), Held()
+
+    def step(times):
+        frame = pd.DataFrame({"request_id": range(len(times)), "user_id": 1, "document_id": 7, "ts": times,
+                              "role": "Student", "limit": 2})
+        return next(fold((1,), iter([frame.iloc[:1], frame.iloc[1:]]), held))
+
+    first = step([at(1, 5), at(0, 1), at(1, 3), at(1, 4)])
+    assert first["request_id"].tolist() == [1, 2, 3, 0] and first["accepted"].tolist() == [True, True, True, False]
+    assert held.value == ((DAY + timedelta(days=1)).date(), 2) and first["remaining"].isna().tolist() == [False] * 3 + [True]
+    late = step([at(0, 9), at(2, 0)])
+    assert late["accepted"].tolist() == [False, True] and late["reason"].tolist() == [fixed.QUOTA_SPENT % 2, None]
+    assert held.value == ((DAY + timedelta(days=2)).date(), 1) and held.timeout == 1000
+
+
+def test_requests_without_a_user_pass_no_state(spark, tmp_path):
+    frame = requests(spark, [(1, 1, 7, 0), (2, 9, 7, 1), (3, 1, 8, 2), (4, None, 7, 3)])
+    frame.coalesce(1).write.parquet(str(tmp_path / "in"))
+    people = users(spark).select("id", "role", "daily_check_limit")
+    asked = streams.quota_stream(arriving(spark, str(tmp_path / "in"), frame.schema), people, docs(spark), str(tmp_path / "q"))
+    asked.awaitTermination()
+    got = {r.request_id: (r.accepted, r.remaining, r.reason, r.day) for r in streams.read_results(spark, str(tmp_path / "q")).collect()}
+    day = DAY.date()
+    assert got == {1: (True, 4, None, day), 2: (False, None, fixed.NO_USER, day),
+                   3: (False, None, fixed.NO_DOCUMENT, day), 4: (False, None, fixed.NO_USER, day)}
