@@ -182,3 +182,15 @@ def test_results_are_partitioned_by_period(spark, tmp_path):
     sink.write_results(checks, matches, str(tmp_path / "r"), F.col("check_date"))
     back = spark.read.parquet(str(tmp_path / "r" / "checks"))
     assert back.filter("period = date'2024-02-01'").select("id").collect()[0].id == 2
+
+
+def test_names_that_are_no_text_files(spark, tmp_path):
+    """Text files are left out by name, before the scan makes tasks for them."""
+    texts = {"a.txt", "b.TXT", ".x.Txt", "c.pdf.tXt"}
+    others = {"a.pdf", "txt", "xt", "t", "a.tx", "atxt", "a.txt.md", "xxt", "T.docx", "a.ttt", "a.xxt", "a.tt"}
+    for name in texts | others:
+        (tmp_path / name).write_bytes(b"x")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", ingest.NOT_TEXT).load(str(tmp_path))
+    assert {r.path.rsplit("/", 1)[1] for r in found.select("path").collect()} == others
+    both = {r.path.rsplit("/", 1)[1]: r.content for r in ingest.read_folder(spark, str(tmp_path)).collect()}
+    assert set(both) - {".x.Txt"} == (texts | others) - {".x.Txt"} and both["b.TXT"] == b"x" and both["a.pdf"] is None
