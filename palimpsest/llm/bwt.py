@@ -8,11 +8,13 @@ id, or before in its own.
    Tasks deal the distinct anchors of a shard of texts to buckets; a bucket marks those found twice in its
    share of a filter.  The filter has a fixed largest size; a fuller one costs time, not results.
 2. Consecutive windows of one marked anchor make a snippet.  A snippet repeated within a shard is settled
-   there; the first of each kind goes to the bucket of its anchor, once per shard.
+   there; the first of each kind goes to the bucket of its anchor, once per shard.  There snippets that are
+   whole copies across shards are settled first; windows of one snippet differ, as their anchor stands at another
+   place in each, so an anchor left with a single snippet holds no repeat, and its snippet takes no further part.
    An anchor with too many different snippets is crowded (a fixed phrase in ever new contexts).  Its windows
    go one by one to buckets by a 128-bit hash of their bytes, so that only equal ones meet; those repeated
    within a part of a shard are settled there.
-3. A bucket holds the snippets of many shards.  For each shard they form a collection of strings over an
+3. A bucket holds the different snippets of many shards.  For each shard they form a collection of strings over an
    alphabet of 25-byte blocks (each place starts one, so every suffix is there), with a transform of its
    own.  The transforms are merged by refining their interleave: one round deals the shards' symbols out
    in the order so far, which sorts by one block more, and a boundary that first shows in round h
@@ -40,7 +42,7 @@ CROWD = 1 << 12  # different snippets of an anchor, added up over shards, beyond
 WINDOWS = 1 << 19  # windows of crowded anchors settled at once
 SEEDS = (LENGTH, LENGTH << 32)
 
-SNIPPETS = "bucket bigint, kind int, ids binary, marks binary, starts binary, sizes binary, bodies binary"
+SNIPPETS = "bucket bigint, kind int, ids binary, marks binary, starts binary, sizes binary, anchors binary, bodies binary"
 SPANS = "doc_id bigint, mark bigint, spans binary"
 
 
@@ -183,7 +185,8 @@ def within(h: np.ndarray, layout: Layout, crowded: np.ndarray) -> np.ndarray:
     return crowded[np.minimum(np.searchsorted(crowded, key), len(crowded) - 1)] == key
 
 
-def snippet_batch(kind: int, bucket: np.ndarray, ids, marks, starts, sizes, bodies: list[bytes] | np.ndarray | None) -> pa.RecordBatch:
+def snippet_batch(kind: int, bucket: np.ndarray, ids, marks, starts, sizes, bodies: list[bytes] | np.ndarray | None,
+                  anchors=None) -> pa.RecordBatch:
     """Rows of one kind, packed by bucket; each body is followed by one zero byte, hashes stand as they are."""
     ids, marks, starts = (np.array(x, np.int64) for x in (ids, marks, starts))
     sizes = np.array(sizes, np.int32)
@@ -192,13 +195,15 @@ def snippet_batch(kind: int, bucket: np.ndarray, ids, marks, starts, sizes, bodi
     cuts = np.append(groups(bucket), len(bucket))
     spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
     packed = [pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (ids, marks, starts, sizes)]
+    anchors = np.array(anchors, U)[order] if anchors is not None else None
     if isinstance(bodies, np.ndarray):
         text = [bodies[order[a:b]].tobytes() for a, b in spans]
     else:
         text = [b"".join(bodies[i] + b"\0" for i in order[a:b].tolist()) if bodies else None for a, b in spans]
     return pa.RecordBatch.from_arrays(
         [pa.array([int(bucket[a]) for a, _ in spans], pa.int64()), pa.array([kind] * len(spans), pa.int32()), *packed,
-         pa.array(text, pa.binary())], names=["bucket", "kind", "ids", "marks", "starts", "sizes", "bodies"])
+         pa.array([anchors[a:b].tobytes() if anchors is not None else None for a, b in spans], pa.binary()),
+         pa.array(text, pa.binary())], names=["bucket", "kind", "ids", "marks", "starts", "sizes", "anchors", "bodies"])
 
 
 def earliest(hashes: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -253,7 +258,7 @@ def snippet_rows(found: Iterator[pa.RecordBatch], layout: Layout, bits: Shared,
     Snippets under crowded anchors are left to ``window_rows``.
     """
     for shard in shards(found):
-        first: dict[bytes | tuple[bytes, int], tuple[int, int, int, int]] = {}
+        first: dict[bytes | tuple[bytes, int], tuple[int, ...]] = {}
         later: list[tuple[int, int, int, int]] = []
         apart = []
         for texts, batch, (begin, end, h) in shard:
@@ -266,10 +271,10 @@ def snippet_rows(found: Iterator[pa.RecordBatch], layout: Layout, bits: Shared,
             many = within(h, layout, crowded)
             if many.any():
                 apart.append((texts.data, *(x[many] for x in (h, begin, end - begin + 1, ids, marks, starts))))
-            columns = (x[~many].tolist() for x in (begin, end + LENGTH, ids, marks, starts, layout.bucket(h)))
+            columns = (x[~many].tolist() for x in (begin, end + LENGTH, ids, marks, starts, layout.bucket(h), h))
             whole = texts.data.tobytes()
-            for a, b, i, m, s, k in zip(*columns):
-                body, new = whole[a:b], (i, s, m, k)
+            for a, b, i, m, s, k, g in zip(*columns):
+                body, new = whole[a:b], (i, s, m, k, g)
                 old = first.setdefault(body, new)
                 if old is new or old[:3] == new[:3]:
                     continue
@@ -285,9 +290,9 @@ def snippet_rows(found: Iterator[pa.RecordBatch], layout: Layout, bits: Shared,
             if first[key][:2] != first[key[0]][:2]:
                 later.append((*first.pop(key)[:3], len(key[0])))
         if first:
-            ids, starts, marks, bucket = zip(*first.values())
+            ids, starts, marks, bucket, anchors = zip(*first.values())
             bodies = [k[0] if isinstance(k, tuple) else k for k in first]
-            yield snippet_batch(0, np.array(bucket, np.int64), ids, marks, starts, [len(x) for x in bodies], bodies)
+            yield snippet_batch(0, np.array(bucket, np.int64), ids, marks, starts, [len(x) for x in bodies], bodies, anchors)
         if later:
             ids, starts, marks, sizes = (np.array(x) for x in zip(*later))
             yield snippet_batch(1, id_bucket(ids, layout), ids, marks, starts, sizes, None)
@@ -392,11 +397,25 @@ def repeated(body: np.ndarray, sizes: np.ndarray, shard: np.ndarray, ids: np.nda
     return gone
 
 
+def settled(body: np.ndarray, sizes: np.ndarray, anchors: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marks the snippets of which no copy starts earlier, and those whose anchor has different snippets."""
+    ends = np.cumsum(sizes.astype(np.int64) + 1)
+    whole, seen = body.tobytes(), {}
+    numbers = np.array([seen.setdefault(whole[b - n - 1 : b - 1], len(seen)) for b, n in zip(ends.tolist(), sizes.tolist())], U)
+    first = earliest(np.stack([anchors, numbers], axis=1), ids, starts)
+    order = np.argsort(anchors, kind="stable")
+    at = groups(anchors[order])
+    several = np.minimum.reduceat(numbers[order], at) != np.maximum.reduceat(numbers[order], at)
+    contested = np.empty(len(sizes), bool)
+    contested[order] = np.repeat(several, np.diff(np.append(at, len(order))))
+    return first, contested
+
+
 def span_rows(table: pa.Table) -> pa.Table:
     """``doc_id, mark, spans``: first and last starts of removed windows, packed per document."""
     found, parts, windows = [], [], []
-    columns = [table.column(c).to_pylist() for c in ("kind", "ids", "marks", "starts", "sizes", "bodies")]
-    for kind, *packed, body in zip(*columns):
+    columns = [table.column(c).to_pylist() for c in ("kind", "ids", "marks", "starts", "sizes", "anchors", "bodies")]
+    for kind, *packed, anchors, body in zip(*columns):
         ids, marks, starts = (np.frombuffer(x, np.int64) for x in packed[:3])
         sizes = np.frombuffer(packed[3], np.int32)
         if kind == 2:
@@ -404,10 +423,18 @@ def span_rows(table: pa.Table) -> pa.Table:
         elif kind:
             found.append((ids, marks, starts, starts + sizes - LENGTH))
         else:
-            parts.append((ids, marks, starts, sizes, np.frombuffer(body, np.uint8)))
+            parts.append((ids, marks, starts, sizes, np.frombuffer(anchors, U), np.frombuffer(body, np.uint8)))
+    live = np.zeros(0, bool)
     if parts:
-        ids, marks, starts, sizes, body = (np.concatenate(x) for x in zip(*parts))
+        ids, marks, starts, sizes, anchors, body = (np.concatenate(x) for x in zip(*parts))
         shard = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+        first, contested = settled(body, sizes, anchors, ids, starts)
+        found.append((ids[~first], marks[~first], starts[~first], (starts + sizes - LENGTH)[~first]))
+        live = first & contested
+    if live.any():
+        body = body[np.repeat(live, sizes.astype(np.int64) + 1)]
+        ids, marks, starts, sizes = ids[live], marks[live], starts[live], sizes[live]
+        shard = np.unique(shard[live], return_inverse=True)[1]
         gone = repeated(body, sizes, shard, ids, starts)
         edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
         a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1

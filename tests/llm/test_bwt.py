@@ -125,3 +125,27 @@ def test_one_phrase_in_many_contexts_spreads_over_buckets():
         for bucket, body in zip(rows_.column("bucket").to_pylist(), rows_.column("bodies").to_pylist()):
             sent[bucket] += len(body or b"")
     assert max(sent.values()) < 0.02 * sum(sent.values())
+
+
+def test_whole_copies_take_no_part_in_the_transforms(monkeypatch):
+    """Twenty shards with one text and a shard with a changed one: only what differs is sorted."""
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(4000)).encode()
+    texts = [text] * 20 + [text[:2000] + b"#" + text[2000:]]
+    layout = Layout(1 << 10, per_bucket=1 << 15)
+    bits = SimpleNamespace(value=np.full(layout.buckets * layout.width // 8, 255, np.uint8))
+    rows = []
+    for i, body in enumerate(texts):
+        batch = pa.RecordBatch.from_arrays([pa.array([i]), pa.array([body], pa.binary()), pa.array([0])], names=["doc_id", "body", "mark"])
+        rows += bwt.snippet_rows(iter([batch]), layout, bits, np.zeros(0, np.uint64))
+    table, sorted_bytes, repeated = pa.Table.from_batches(rows), [], bwt.repeated
+    monkeypatch.setattr(bwt, "repeated", lambda body, *rest: sorted_bytes.append(len(body)) or repeated(body, *rest))
+    gone = {i: np.zeros(4001, bool) for i in range(21)}
+    for bucket in set(table.column("bucket").to_pylist()):
+        for row in bwt.span_rows(table.filter(pc.equal(table.column("bucket"), bucket))).to_pylist():
+            for a, b in np.frombuffer(row["spans"], np.int64).reshape(2, -1).T:
+                gone[row["doc_id"]][a : b + 1] = True
+    assert not gone[0].any()
+    assert all(gone[i][:3901].all() and not gone[i][3901:].any() for i in range(1, 20))
+    assert (~gone[20][:3902]).sum() == 100 and not gone[20][1901:2001].any()
+    assert 0 < sum(sorted_bytes) < 0.01 * sum(len(x or b"") for x in table.column("bodies").to_pylist())
