@@ -20,7 +20,7 @@ up to the maximal repeats.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.words import NOT_SPACE, Shared, Texts, U, Words, batches, joined, mix, slices
 
 PASSAGE, BLOCK = 13, 7
+READ = 1 << 20  # bytes of text whose words are held at once
 CHUNK = 1 << 20  # words reduced at once
 LAST = 2**63 - 1  # stands for a missing id: behind all others
 FILTER_BITS = 1 << 28
@@ -60,13 +61,16 @@ def groups(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
 
 
-def chunks(found: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[Words, np.ndarray, np.ndarray]]]:
-    """Lists of (words, their hashes, ids of their texts), bounded in words unless one text is longer."""
+def chunks(found: Iterator[pa.RecordBatch], reduced: Callable[[Words, np.ndarray, np.ndarray], tuple]) -> Iterator[list[tuple]]:
+    """Lists of what ``reduced`` makes of words, their hashes and the ids of their texts, bounded in words unless one text is longer.
+
+    The words themselves are only held for a few texts at once.
+    """
     held, size = [], 0
-    for batch in batches(found, "body", 4 << 20):
+    for batch in batches(found, "body", READ):
         words = Words(Texts(batch.column("body")), NOT_SPACE)
         ids = batch.column("doc_id").fill_null(LAST).to_numpy(zero_copy_only=False)
-        held.append((words, words.hashes(), ids))
+        held.append(reduced(words, words.hashes(), ids))
         size += len(words.start)
         if size >= CHUNK:
             yield held
@@ -75,30 +79,37 @@ def chunks(found: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[Words, np.nda
         yield held
 
 
+def probes(words: Words, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Hashes of the windows of seven, their texts counted from 0, whether they are blocks; and how many texts."""
+    seven, valid = words.windows(h, BLOCK)
+    owner = np.repeat(np.arange(len(ids), dtype=np.int32), words.count)
+    place = np.arange(len(h)) - np.repeat(words.first[:-1], words.count)
+    return seven[valid], owner[valid], (place % BLOCK == 0)[valid], len(ids)
+
+
 def index_rows(found: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[pa.RecordBatch]:
-    for chunk in chunks(found):
-        hashes, owners, blocks, base = [], [], [], 0
-        for words, h, ids in chunk:
-            seven, valid = words.windows(h, BLOCK)
-            owner = np.repeat(np.arange(len(ids), dtype=np.int32), words.count)
-            place = np.arange(len(h)) - np.repeat(words.first[:-1], words.count)
-            hashes.append(seven[valid])
-            owners.append(owner[valid] + base)
-            blocks.append(place[valid] % BLOCK == 0)
-            base += len(ids)
-        h, owner, block = np.concatenate(hashes), np.concatenate(owners), np.concatenate(blocks)
+    for chunk in chunks(found, probes):
+        base = 0
+        for _, owner, _, texts in chunk:
+            owner += base
+            base += texts
+        h, owner, block = (np.concatenate(x) for x in list(zip(*chunk))[:3])
+        del chunk[:]
         if not len(h):
             continue
         order = np.argsort(h)
         h, owner, block = h[order], owner[order], block[order]
+        del order
         at = groups(h)
         several = np.minimum.reduceat(owner, at) != np.maximum.reduceat(owner, at)
         block = np.logical_or.reduceat(block, at)
         h = h[at]
         bucket, prints = layout.bucket(h), layout.print_(h)
+        del h, owner, at
         cuts = np.append(groups(bucket), len(bucket))
         rows = [(int(bucket[a]), prints[a:b].tobytes(), np.packbits(several[a:b]).tobytes(), np.packbits(block[a:b]).tobytes())
                 for a, b in zip(cuts[:-1], cuts[1:])]
+        del bucket, prints, several, block
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(x), t) for x, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))],
             names=["bucket", "prints", "several", "block"])
@@ -162,15 +173,13 @@ def packed_rows(bucket: np.ndarray, ids: np.ndarray, one: np.ndarray, two: np.nd
 
 
 def passage_rows(found: Iterator[pa.RecordBatch], layout: Layout, bits: Shared) -> Iterator[pa.RecordBatch]:
-    for chunk in chunks(found):
-        ids, ones, twos = [], [], []
-        for words, hashes, own in chunk:
-            start, one, two = passages(words, hashes, layout, bits.value)
-            owner = np.searchsorted(words.first, start, side="right") - 1
-            ids.append(own[owner])
-            ones.append(one)
-            twos.append(two)
-        ids, one, two = np.concatenate(ids), np.concatenate(ones), np.concatenate(twos)
+    def owned(words: Words, hashes: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        start, one, two = passages(words, hashes, layout, bits.value)
+        return own[np.searchsorted(words.first, start, side="right") - 1], one, two
+
+    for chunk in chunks(found, owned):
+        ids, one, two = (np.concatenate(x) for x in zip(*chunk))
+        del chunk[:]
         if not len(ids):
             continue
         order = np.lexsort((ids, two, one))
@@ -258,7 +267,7 @@ def counter():
     @F.arrow_udf(COUNTED)
     def count(body: pa.Array, removed: pa.Array) -> pa.Array:
         out, at = [], 0
-        for part in slices(body):
+        for part in slices(body, READ):
             words = Words(Texts(part), NOT_SPACE)
             gone = covered(words, removed.slice(at, len(part)).to_pylist())
             at += len(part)
@@ -274,7 +283,7 @@ def cutter():
     @F.arrow_udf("struct<text: string, n_kept: bigint>")
     def cut(body: pa.Array, removed: pa.Array) -> pa.Array:
         out, at = [], 0
-        for part in slices(body):
+        for part in slices(body, READ):
             texts = Texts(part)
             words = Words(texts, NOT_SPACE)
             gone = covered(words, removed.slice(at, len(part)).to_pylist())
@@ -323,8 +332,9 @@ def cut(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: str
     texts without repeats stay as they are, null and empty ones too.
     """
     joined_ = _joined(docs, removals(docs, doc_id, text), doc_id)
-    made = joined_.select("row", "removed", F.when(
-        F.col("removed").isNotNull(), cutter()(F.col(f"row.{text}").cast("binary"), F.col("removed"))).alias("c"))
+    found = F.col("removed").isNotNull()
+    body = F.when(found, F.col(f"row.{text}").cast("binary"))  # a text that stays as it is need not go to Python
+    made = joined_.select("row", "removed", F.when(found, cutter()(body, F.col("removed"))).alias("c"))
     made = made.filter("c IS NULL OR c.n_kept > 0").withColumn("new", F.coalesce("c.text", F.col(f"row.{text}")))
     columns = []
     for name in docs.columns:

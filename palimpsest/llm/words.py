@@ -120,7 +120,7 @@ def distinct(values: np.ndarray) -> np.ndarray:
     return values[np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))] if len(values) else values
 
 
-def batches(found: Iterator[pa.RecordBatch], column: str, limit: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def batches(found: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``limit`` bytes of ``column``, or of one row."""
     for batch in found:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -134,7 +134,7 @@ def batches(found: Iterator[pa.RecordBatch], column: str, limit: int = 16 << 20)
             yield batch.slice(begin)
 
 
-def slices(array: pa.Array, limit: int = 16 << 20) -> Iterator[pa.Array]:
+def slices(array: pa.Array, limit: int = 2 << 20) -> Iterator[pa.Array]:
     """``array`` in pieces of at most ``limit`` bytes, or of one value."""
     sizes = pc.fill_null(pc.binary_length(array), 0).to_numpy(zero_copy_only=False)
     begin, held = 0, 0
@@ -148,19 +148,24 @@ def slices(array: pa.Array, limit: int = 16 << 20) -> Iterator[pa.Array]:
 
 
 class Shared:
-    """A broadcast value of one of this package's classes, readable where the package is not installed."""
+    """A broadcast value of one of this package's classes, readable where the package is not installed.
+
+    A plain array of bytes is sent and read as it is, so that tasks hold it once.
+    """
 
     def __init__(self, spark: SparkSession, value):
-        self._sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self._plain = isinstance(value, np.ndarray) and value.dtype == np.uint8 and value.ndim == 1
+        self._sent = spark.sparkContext.broadcast(value.tobytes() if self._plain else cloudpickle.dumps(value))
         self._own = None
 
     def __getstate__(self):
-        return {"_sent": self._sent, "_own": None}
+        return {"_plain": self._plain, "_sent": self._sent, "_own": None}
 
     @property
     def value(self):
         if self._own is None:
-            self._own = cloudpickle.loads(self._sent.value)
+            sent = self._sent.value
+            self._own = np.frombuffer(sent, np.uint8) if self._plain else cloudpickle.loads(sent)
         return self._own
 
 
