@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text
 from palimpsest.operators.copies import numbered, text_key
 from palimpsest.operators.setsim import HOT_DF, topk_jaccard
-from palimpsest.scratch import stage
+from palimpsest.scratch import stage_packed as stage
 
 
 def plain_sentences(docs: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
